@@ -1,0 +1,140 @@
+"""Secret scans: base patterns, and structures confirmed by decoding base64 or hex and parsing what they hold."""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import hashlib
+import json
+import re
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
+
+from .texts import each_text
+
+#: Kinds in the order in which spans with the same start are listed. The last two are added by structure.
+KINDS = ("assign", "access", "hex", "jwt", "key")
+ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so this is [0-9a-f]+ of 32 or more
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.[A-Za-z0-9_-]*")
+ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END [A-Z0-9 ]*PRIVATE KEY-----")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{44,}={0,2}")
+LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
+
+
+def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
+    for m in ASSIGN.finditer(text):
+        if len(m[1]) >= 8:
+            yield ("assign", *m.span())
+    for m in ACCESS.finditer(text):
+        if len(m[0]) >= 16:
+            yield ("access", *m.span())
+    for m in HEX.finditer(text):
+        yield ("hex", *m.span())
+
+
+def unbase64(s: str) -> bytes:
+    """Decoded bytes of standard or URL-safe base64 with or without padding; empty if it is none."""
+    s = s.rstrip("=").replace("-", "+").replace("_", "/")
+    try:
+        return base64.b64decode(s + "=" * (-len(s) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return b""
+
+
+def der_items(data: bytes) -> list[tuple[int, bytes]]:
+    """(tag, content) of DER items that fill the data exactly; empty if lengths don't fit."""
+    items, at = [], 0
+    while at < len(data):
+        if at + 2 > len(data):
+            return []
+        tag, n, at = data[at], data[at + 1], at + 2
+        if n & 0x80:
+            k = n & 0x7F
+            if not 1 <= k <= 4 or at + k > len(data):
+                return []
+            n, at = int.from_bytes(data[at : at + k]), at + k
+        if at + n > len(data):
+            return []
+        items.append((tag, data[at : at + n]))
+        at += n
+    return items
+
+
+def is_private_key(data: bytes) -> bool:
+    """True for PKCS#1, PKCS#8 and SEC 1 private keys in DER, and for OpenSSH's format, whose nested lengths all fit."""
+    if data.startswith(b"openssh-key-v1\0"):
+        at = 15
+        for _ in range(3):  # cipher, key derivation, its options
+            n = int.from_bytes(data[at : at + 4])
+            at += 4 + n
+        return at + 4 <= len(data)
+    outer = der_items(data) if data[:1] == b"\x30" else []
+    if len(outer) != 1 or outer[0][0] != 0x30:
+        return False
+    items = der_items(outer[0][1])
+    if len(items) < 2 or items[0][0] != 0x02 or items[0][1] not in (b"\0", b"\1"):
+        return False
+    tags = [t for t, _ in items]
+    if tags[:9] == [0x02] * 9:  # PKCS#1: version and eight numbers
+        return True
+    if tags[1] == 0x30 and len(tags) > 2 and tags[2] == 0x04:  # PKCS#8: algorithm, key
+        inner = der_items(items[1][1])
+        return bool(inner) and inner[0][0] == 0x06
+    return items[0][1] == b"\1" and tags[1] == 0x04 and len(items[1][1]) in (20, 24, 28, 32, 48, 66)  # SEC 1
+
+
+def is_signed_token(header: str, claims: str) -> bool:
+    try:
+        head, body = (json.loads(unbase64(s)) for s in (header, claims))
+    except (ValueError, RecursionError):
+        return False
+    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
+
+
+def found_by_structure(text: str) -> Iterator[tuple[str, int, int]]:
+    for m in SIGNED.finditer(text):
+        if is_signed_token(m[1], m[2]):
+            yield ("jwt", *m.span())
+    taken = []
+    for m in ARMOUR.finditer(text):
+        if is_private_key(unbase64("".join(m[1].split()))):
+            taken.append(m.span())
+            yield ("key", *m.span())
+    for pattern, decode in ((BASE64, unbase64), (LONG_HEX, lambda s: bytes.fromhex(s[: len(s) // 2 * 2]))):
+        for m in pattern.finditer(text):
+            if not any(a <= m.start() < b for a, b in taken) and is_private_key(decode(m[0])):
+                taken.append(m.span())
+                yield ("key", *m.span())
+
+
+def joined(spans: list[tuple[str, int, int]]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2])))
+
+
+def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """Base spans and added ones, in code points, ends exclusive."""
+    return list(base_spans(text)), list(found_by_structure(text))
+
+
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, spans array of (kind, start, end)): all secrets of each text, by start. Null and empty texts have none. Repeated rows are kept."""
+
+    def run(text: str) -> tuple[list]:
+        base, more = scan(text)
+        return (sorted([*base, *more], key=lambda s: (s[1], KINDS.index(s[0]), s[2])),)
+
+    return each_text(docs, id_col, text_col, "spans array<struct<kind:string,start:long,end:long>>", lambda t: ([dict(zip(("kind", "start", "end"), s)) for s in run(t)[0]],))
+
+
+def secret_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_assign, n_access, n_hex, base_sha256, spans): counts and a digest of the base spans, and all spans as text."""
+
+    def run(text: str) -> tuple:
+        base, more = scan(text)
+        n = [sum(k == kind for k, _, _ in base) for kind in KINDS[:3]]
+        return (*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined([*base, *more]))
+
+    return each_text(docs, id_col, text_col, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string", run)

@@ -16,7 +16,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The documents whose ids are not in `dropped`. The ids are written first, so the planner knows their size: few are broadcast, many are joined by shuffle."""
-    return docs.join(written(dropped.select(F.col("doc_id").alias("_drop")), "dropped"), F.col("doc_id") == F.col("_drop"), "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(written(dropped.select(F.col("doc_id").alias("_drop")), "dropped"), F.col("doc_id") == F.col("_drop"), "left_anti").select(*COLUMNS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix(docs).where("pass IS NOT NULL").groupBy("doc_id", "row", "pass", "size").agg(words.alias("words"))
     taken = taken.where("words * 2 >= size").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("times"))
     taken = written(taken.withColumnRenamed("doc_id", "_taken"), "taken")
-    both = docs.join(taken, F.col("doc_id") == F.col("_taken"))
+    both = docs.select(*COLUMNS).join(taken, F.col("doc_id") == F.col("_taken"))
     return both.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_time")).select(*COLUMNS)
 
 

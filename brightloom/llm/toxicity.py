@@ -140,7 +140,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model: letter trigrams over all texts that are not held out, and weighted word beginnings.
 
     The beginnings are fitted on a bounded sample: the `fit_rows` labelled, not held-out ids with the smallest hashes. Candidates are those that
-    occur in five toxic rows or more and nearly only there; they are taken greedily while they explain toxic rows that none before explained,
+    occur in four toxic rows or more and nearly only there; they are taken greedily while they explain toxic rows that none before explained,
     and weighted by log odds. Ids with null labels are not used; an id with several labels counts as toxic if one says so.
     """
     train = docs.where(~held_out(F.col(id_col)))
@@ -153,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = total.get(1, 0), total.get(0, 0)
     counts = rows.select("_y", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(F.col("_y") == 1).alias("t"), F.count_if(F.col("_y") == 0).alias("c"))
-    counts = settle(counts.where("t >= 5 AND c <= t / 50"))
+    counts = settle(counts.where("t >= 4 AND c <= t / 20"))
     seen = {r["word"]: (r["t"], r["c"]) for r in counts.collect()}  # of a bounded sample
     having: dict[str, set] = defaultdict(set)
     hits = rows.where("_y = 1").select(id_col, F.explode("words").alias("word")).join(counts.select("word"), "word", "left_semi")
@@ -170,7 +170,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         weights[word] = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
         having = {w: left for w, ids in having.items() if (left := ids - gain)}
     missed = toxic - len(covered)
-    return {"letters": letters, "weights": weights, "prior": math.log((missed + 0.5) / (clean + 1))}
+    # Log odds before any word is seen, and where none of the words is found.
+    return {"letters": letters, "weights": weights, "base": math.log((toxic + 0.5) / (clean + 0.5)), "prior": math.log((missed + 0.5) / (clean + 1))}
 
 
 @lru_cache(8)
@@ -185,9 +186,9 @@ def _automaton(words: tuple[str, ...]) -> ahocorasick.Automaton:
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per input row: (id, score from 0 to 1, predicted 0 or 1).
 
-    The restored whole text is searched for the model's word beginnings; each adds its weight once. Null and empty texts score the prior.
+    The restored whole text is searched for the model's word beginnings; each adds its weight once. Null and empty texts score what texts without any of them do.
     """
-    weights, prior, letters = model["weights"], model["prior"], Letters(model["letters"])
+    weights, base, prior, letters = model["weights"], model["base"], model["prior"], Letters(model["letters"])
     known: dict[str, str] = {}
     words = tuple(sorted(weights))
 
@@ -199,7 +200,8 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                 at = end - len(word)
                 if word not in found and not (at >= 0 and text[at].isalpha()):
                     found.add(word)
-        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, prior + sum(weights[w] for w in found)))))
+        odds = base + sum(weights[w] for w in found) if found else prior
+        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
         return p, int(p >= threshold)
 
     return each_text(docs, id_col, text_col, "score double, predicted int", run)

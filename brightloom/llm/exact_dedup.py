@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, written
 
 
 def md5_128(text: Column) -> Column:
@@ -22,8 +22,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are kept. A null id never stays where its group has another; in a group of null ids only, keep_id is null and all of its rows are kept.
     An empty table gives no rows. Other columns are ignored, whatever their names.
 
-    How it scales: the first grouping moves one 128-bit hash per distinct text and map task. Only hashes met more than once go on; their texts are
-    grouped by (hash, bytes), with copies merged on the map side, so a text that a third of all rows share moves once per map task. Bytes that
+    How it scales: the first grouping moves one 128-bit hash per distinct text and map task. Only hashes met more than once go on; they are written
+    as a table, so the planner knows its size and broadcasts it only below its own threshold. Their texts are grouped by (hash, bytes), with copies merged on the map side, so a text that a third of all rows share moves once per map task. Bytes that
     differ under one hash end in different groups. Rows then look their group up by the hashes alone (no text moves), a join that adaptive
     execution can split where one text is very frequent.
     """
@@ -32,7 +32,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     norm = (ascii_lower(text) if fold_case else text).alias("_norm")
     rows = docs.select(F.col(id_col).alias("_id"), norm).select("_id", "_norm", hash128(F.col("_norm")).alias("_hash"), F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"))
 
-    repeated = rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
+    repeated = written(rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash"), "repeated")
     keys = ["_hash", "text_sha256"]
     texts = rows.join(repeated, "_hash", "left_semi").groupBy(*keys, "_norm").agg(best("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
     # One row per compared text. Should different bytes ever share both hashes, the job fails rather than merge them.

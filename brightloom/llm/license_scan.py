@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,17 @@ def bands_for(words: int, stride: int, width: int, containment: float, chance: f
     return 1 if jaccard >= 1 else math.ceil(math.log(1 - chance) / math.log(1 - jaccard))
 
 
+def cover(sets: list[set[str]]) -> list[str]:
+    """Few words of which every set has one, chosen greedily; long words first among equals."""
+    left, chosen = list(sets), []
+    while left:
+        n = Counter(w for s in left for w in s)
+        best = max(n, key=lambda w: (n[w] * len(w), w))
+        chosen.append(best)
+        left = [s for s in left if best not in s]
+    return chosen
+
+
 def scan(
     docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     width: int = 5, containment: float = 0.8, chance: float = 0.9999, max_templates: int = 10_000,
@@ -63,17 +76,18 @@ def scan(
     returned, the largest over the windows that reach `containment`, with the number of such windows and the word (from 0) where the first
     starts.
 
-    A window can only collide if it holds the first shingle of some template in some order; documents without any such shingle are left out
-    before windows are made. Templates are few: more than `max_templates`, or one with fewer than `width` words, is an error.
+    A window can only collide if it holds the first shingle of some template in some order; documents without any such shingle, and before that
+    those without any word of a set that has one of each such shingle, are left out before windows are made. Neither loses a match. Templates are few: more than `max_templates`, or one with fewer than `width` words, is an error.
     Null and empty texts match nothing. Rows that repeat an id are one document. An empty table gives no rows. Only DataFrame functions are used.
     """
     spark = docs.sparkSession
-    t = templates.select("template_id", words_of(F.col("template")).alias("w")).select("template_id", F.size("w").alias("m"), F.array_distinct(shingles_of(F.col("w"), width)).alias("shingles"))
+    t = templates.select("template_id", words_of(F.col("template")).alias("w")).select("template_id", F.size("w").alias("m"), F.array_distinct(shingles_of(F.col("w"), width)).alias("shingles"), "w")
     known = t.limit(max_templates + 1).collect()
     if len(known) > max_templates or any(r["m"] < width for r in known):
         raise ValueError(f"over {max_templates} templates, or one shorter than {width} words")
     schema = f"template_id {templates.schema['template_id'].dataType.simpleString()}, m int, shingles array<bigint>"
-    t = spark.createDataFrame([tuple(r) for r in known], schema)
+    word_lists = spark.createDataFrame([(r["w"],) for r in known], "w array<string>")
+    t = spark.createDataFrame([tuple(r)[:3] for r in known], schema)
     lengths = {m: max(1, m // 4) for m in sorted({r["m"] for r in known})}
     n_bands = {m: bands_for(m, stride, width, containment, chance) for m, stride in lengths.items()}
     by_length = lambda m, values: F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))]), m)
@@ -84,15 +98,24 @@ def scan(
     # The shingle that wins each order, by template: what a window must hold to collide.
     first = t.select(F.explode(F.sequence(F.lit(1), by_length(F.col("m"), n_bands))).alias("k"), F.explode("shingles").alias("s"), "template_id")
     winners = first.groupBy("template_id", "k").agg(F.min_by("s", F.xxhash64("s", "k")).alias("s")).select("s").distinct().collect()
+    texts = word_lists.select(F.col("w"), F.explode(F.sequence(F.lit(1), F.size("w") - width + 1)).alias("i")).select(F.slice("w", F.col("i"), width).alias("words"))
+    holding = {r["s"]: set(r["words"]) for r in texts.select("words", F.xxhash64("words").alias("s")).collect()}
+    anchors = cover([holding[r["s"]] for r in winners])
     winners = F.array(*[F.lit(r["s"]) for r in sorted(winners)])
-
-    rows = docs.select(F.col(id_col).alias("_id"), words_of(F.col(text_col)).alias("_w"))  # apart, or each shingle would split the text again
-    rows = rows.select("_id", shingles_of(F.col("_w"), width).alias("_s")).where(F.arrays_overlap("_s", winners))
-    classes = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(s).alias("stride")) for m, s in lengths.items()])
-    rows = rows.select("_id", "_s", F.explode(classes).alias("c")).select("_id", "_s", "c.*").where(F.size("_s") >= F.col("m") - width + 1)
-    starts = F.sequence(F.lit(0), F.size("_s") + (width - 1) - F.col("m"), F.col("stride"))
-    rows = rows.select("_id", "_s", "m", "stride", F.explode(starts).alias("at"))
-    rows = rows.select("_id", "m", "at", F.slice("_s", F.col("at") + 1, F.col("m") + F.col("stride") - width + 1).alias("win")).where(F.arrays_overlap("win", winners))
+    if len(anchors) <= 64:
+        low = F.lower(F.col(text_col))
+        docs = docs.where(reduce(Column.__or__, [F.contains(low, F.lit(a)) for a in anchors]))
+
+    # Generators keep the planner from moving filters down and splitting the text again for each shingle.
+    rows = docs.select(F.col(id_col).alias("_id"), F.explode(F.array(words_of(F.col(text_col)))).alias("_w"))
+    rows = rows.select("_id", F.explode(F.array(shingles_of(F.col("_w"), width))).alias("_s")).where(F.arrays_overlap("_s", winners))
+    def windows(m: int, stride: int) -> Column:
+        """The windows for templates of m words that can collide: made and sifted inside the row, so that no copy of the text is made for each."""
+        starts = F.when(F.size("_s") >= m - width + 1, F.sequence(F.lit(0), F.size("_s") + (width - 1 - m), F.lit(stride))).otherwise(F.array().cast("array<int>"))
+        made = F.transform(starts, lambda at: F.struct(F.lit(m).alias("m"), at.alias("at"), F.slice("_s", at + 1, m + stride - width + 1).alias("win")))
+        return F.filter(made, lambda w: F.arrays_overlap(w["win"], winners))
+
+    rows = rows.select("_id", F.explode(F.concat(*[windows(m, stride) for m, stride in lengths.items()])).alias("w")).select("_id", "w.*")
     rows = rows.select("_id", "m", "at", "win", F.explode(banded(F.col("win"), F.col("m"))).alias("b")).select("_id", "m", "at", "win", "b.*")
     bands = t.select("template_id", "m", "shingles", F.explode(banded(F.col("shingles"), F.col("m"))).alias("b")).select("template_id", "m", "shingles", "b.*")
     met = rows.join(F.broadcast(bands), ["m", "band", "value"])  # at most max_templates templates

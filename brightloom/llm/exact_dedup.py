@@ -24,8 +24,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     How it scales: the first grouping moves one 128-bit hash per distinct text and map task. Only hashes met more than once go on; they are written
     as a table, so the planner knows its size and broadcasts it only below its own threshold. Their texts are grouped by (hash, bytes), with copies merged on the map side, so a text that a third of all rows share moves once per map task. Bytes that
-    differ under one hash end in different groups. Rows then look their group up by the hashes alone (no text moves), a join that adaptive
-    execution can split where one text is very frequent.
+    differ under one hash end in different groups. The groups are written as well, so that rows look theirs up by the hashes alone (no text moves) in a
+    join with nothing else in its stage, which adaptive execution splits where one text is very frequent.
     """
     best = {"min": F.min, "max": F.max}[keep]
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -38,6 +38,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # One row per compared text. Should different bytes ever share both hashes, the job fails rather than merge them.
     groups = texts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_texts"), F.first("_keep").alias("_keep"), F.first("_size").alias("_size"))
     groups = groups.select(*keys, "_keep", F.when(F.col("_texts") == 1, F.col("_size")).otherwise(F.raise_error(F.lit("different texts share MD5 and SHA-256")).cast("long")).alias("_size"))
+    groups = written(groups, "groups")
     found = rows.select("_id", *keys).join(groups, keys, "left")
     keep_id = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return found.select(

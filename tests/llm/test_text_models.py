@@ -1,6 +1,5 @@
 import base64
 import hashlib
-import hashlib
 import json
 import random
 from collections import Counter

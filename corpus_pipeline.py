@@ -41,7 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix(docs).where("pass IS NOT NULL").groupBy("doc_id", "row", "pass", "size").agg(words.alias("words"))
     taken = taken.where("words * 2 >= size").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("times"))
     taken = written(taken.withColumnRenamed("doc_id", "_taken"), "taken")
-    both = docs.select(*COLUMNS).join(taken, F.col("doc_id") == F.col("_taken"))
+    # Nearly every document is taken, so the counts grow with the documents: the same merge join at every size.
+    both = docs.select(*COLUMNS).join(taken.hint("merge"), F.col("doc_id") == F.col("_taken"))
     return both.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_time")).select(*COLUMNS)
 
 

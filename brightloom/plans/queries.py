@@ -380,7 +380,7 @@ def embeddings_missing(spark, sf_dir):
 
 # Retrieval
 
-_LEX = f"SELECT doc_id, lang, round(0.1 * len([x for x in {_W} if x = 'the']) , 6) AS score FROM documents WHERE list_contains({_W}, 'the')"
+_LEX = f"SELECT doc_id, lang, round(CAST(0.1 * len([x for x in {_W} if x = 'the']) AS DOUBLE), 6) AS score FROM documents WHERE list_contains({_W}, 'the')"
 _SEM = "SELECT vec_id, label, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)), 6) AS distance FROM embeddings"
 
 

@@ -102,15 +102,32 @@ def restore(token: str, model: Letters) -> str:
     return max(((p + model.log(a, b, ""), word) for (a, b), (p, word) in best.items()), default=(0, ""))[1]
 
 
+def hidden_in(word: str) -> tuple[str, ...]:
+    """Tokens of one word without white space that may hide another: signs among letters, drawn-out letters."""
+    mixed = (m[0].rstrip("!|+(") for m in MIXED.finditer(word))
+    found = [t for t in mixed if any(c in LEET for c in t) and sum(c.isalpha() for c in t) * 2 >= len(t)]
+    return (*found, *(m[0] for m in DRAWN.finditer(word) if len(m[0]) <= 40))
+
+
+class _Hidden(dict):
+    """hidden_in() of words, kept for the next time; bounded, and without very long words."""
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        tokens = hidden_in(word)
+        if len(word) <= 64:
+            if len(self) > 1 << 17:
+                self.clear()
+            self[word] = tokens
+        return tokens
+
+
+_hidden = _Hidden()
+
+
 def candidates(text: str) -> Iterator[str]:
-    """Tokens of a lower-case text that may hide a word: signs among letters, drawn-out letters, letters set apart."""
-    for m in MIXED.finditer(text):
-        token = m[0].rstrip("!|+(")
-        if any(c in LEET for c in token) and sum(c.isalpha() for c in token) * 2 >= len(token):
-            yield token
-    for m in DRAWN.finditer(text):
-        if len(m[0]) <= 40:
-            yield m[0]
+    """Tokens of a lower-case text that may hide a word: those inside its distinct words, and letters set apart."""
+    for word in set(text.split()):
+        yield from _hidden[word]
     for m in SPACED.finditer(text):
         yield m[0].replace(m[1], "")
 

@@ -102,3 +102,40 @@ def snippet(text: Column, token: Column, width: int = 640) -> Column:
 def cosine_distance(vector: Column, query: Column) -> Column:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     return 1 - dot(vector, query) / F.nullif(F.sqrt(dot(vector, vector) * dot(query, query)), F.lit(0.0))
+
+
+def variant_number(payload: Column, key: str) -> Column:
+    """A number of a parsed payload as a double; null for anything else, also for true, false and numbers in quotes."""
+    kind = F.schema_of_variant(F.try_variant_get(payload, f"$.{key}", "variant"))
+    return F.when(F.rlike(kind, F.lit("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)")), F.try_variant_get(payload, f"$.{key}", "double"))
+
+
+def variant_integer(payload: Column, key: str) -> Column:
+    """A whole number of a parsed payload as a long; null for anything else, also for 1.0 and true."""
+    kind = F.schema_of_variant(F.try_variant_get(payload, f"$.{key}", "variant"))
+    return F.when(kind == "BIGINT", F.try_variant_get(payload, f"$.{key}", "bigint"))
+
+
+def variant_flag(payload: Column, key: str) -> Column:
+    """true or false of a parsed payload; null for anything else, also for 1 and "true"."""
+    kind = F.schema_of_variant(F.try_variant_get(payload, f"$.{key}", "variant"))
+    return F.when(kind == "BOOLEAN", F.try_variant_get(payload, f"$.{key}", "boolean"))
+
+
+def variant_string(payload: Column, key: str) -> Column:
+    kind = F.schema_of_variant(F.try_variant_get(payload, f"$.{key}", "variant"))
+    return F.when(kind == "STRING", F.try_variant_get(payload, f"$.{key}", "string"))
+
+
+def named_provenance(name: Column) -> Column:
+    """A provenance as payloads write it; null for an unknown name."""
+    name = F.upper(name)
+    return F.when(name.isin("PROVIDER_FINAL", "RECONCILED", "FINAL"), "EXACT").when(name.isin(*PROVENANCE), name)
+
+
+def payload_provenance(payload: Column) -> Column:
+    """How sure a payload's values are if nothing is said of a single one: the first name known among its fields, then its flags, UNKNOWN otherwise."""
+    fields = [named_provenance(variant_string(payload, f)) for f in ("metric_provenance", "token_provenance", "usage_provenance")]
+    said = lambda k: F.coalesce(variant_flag(payload, k), F.lit(False))
+    flags = F.when(said("provider_final_usage") | said("usage_reconciled"), "EXACT").when(said("estimated") | said("tokens_estimated"), "ESTIMATED").otherwise("UNKNOWN")
+    return F.coalesce(*fields, flags)

@@ -1,0 +1,4 @@
+from . import charts, code, files, queries
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "charts", "code", "files", "queries"]

@@ -6,17 +6,13 @@ conversations for memory and context items, orders, lineitem and part for tasks,
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import corpus, events, memory, retrieval
 from ..streaming import events as stream
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .registry import query, table
 
 #: What the test table's event types stand for.
 EVENT_TYPES = {"purchase": "run.completed", "error": "run.failed", "signup": "executor.started", "click": "cache.hit", "view": "cache.miss"}
@@ -31,22 +27,6 @@ _NAME = "CASE coalesce({}, 0) WHEN 3 THEN 'EXACT' WHEN 2 THEN 'ESTIMATED' WHEN 1
 _W = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
 
 
-def query(sql: str | None = None) -> Callable:
-    """Register a query under its function's name, with its SQL if SQL can express it."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def as_telemetry(df: DataFrame) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for kv in EVENT_TYPES.items() for x in kv])[F.col("event_type")]
     return df.select(

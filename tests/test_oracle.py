@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from brightloom.plans import queries as plans
+from brightloom import plans
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -71,7 +71,7 @@ def section_body(text: Column, heading: str) -> Column:
 
 def first_line(body: Column) -> Column:
     """The first line that is not blank, trimmed; null without one."""
-    return F.try_element_at(F.filter(F.transform(F.split(body, r"\r?\n"), F.trim), lambda x: x != ""), F.lit(1))
+    return F.try_element_at(F.filter(F.transform(F.split(body, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(1))
 
 
 def bullets(body: Column) -> Column:

@@ -54,11 +54,12 @@ def decision_ledger(spark, sf_dir):
     return documents.decisions(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), text.alias("text")))
 
 
-@query("SELECT r_regionkey AS doc_id, r_name AS status, ['a ' || r_name] AS in_progress, ['b', 'c'] AS pending, 'go on' AS next_step FROM region WHERE r_regionkey <> 3")
+@query("SELECT r_regionkey AS doc_id, r_name AS status, 'a ' || r_name AS in_progress, 'b,c' AS pending, 'go on' AS next_step FROM region WHERE r_regionkey <> 3")
 def status_documents(spark, sf_dir):
     last = F.when(F.col("r_regionkey") == 3, "").otherwise("## NEXT STEP\n\n go on \n")
     text = F.concat(F.lit("# S\n## STATUS\n\n"), "r_name", F.lit("\n## IN PROGRESS\n- a "), "r_name", F.lit("\n### deeper\n## PENDING\n- b\n- [x] c\n"), last)
-    return documents.status_documents(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("doc_id"), text.alias("text")))
+    found = documents.status_documents(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("doc_id"), text.alias("text")))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("in_progress", "pending")})
 
 
 @query("""WITH RECURSIVE i AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),

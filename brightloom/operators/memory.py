@@ -45,3 +45,34 @@ def map_diff(old: Column, new: Column) -> Column:
 def delivery(old: Column, new: Column, patch: Column, most: int = 24_000) -> Column:
     """DELTA if there is a base, the patch is within bounds and smaller than the whole; FULL otherwise."""
     return F.when(old.isNull(), "FULL_NO_BASE").when(F.octet_length(patch) > most, "FULL_TOO_LARGE").when(F.octet_length(patch) >= F.octet_length(new), "FULL_NOT_SMALLER").otherwise("DELTA")
+
+
+def successors(records: DataFrame, key: str = "memory_id", replaces: str = "supersedes") -> DataFrame:
+    """(key, successor): for each record the newest one that replaces it, ties by id; null without one. records: key, replaces, created_at."""
+    newest = records.where(F.col(replaces).isNotNull()).groupBy(F.col(replaces).alias("_k")).agg(F.max_by(key, F.struct("created_at", key)).alias("successor"))
+    return records.select(key).join(newest, F.col(key) == F.col("_k"), "left").select(key, "successor")
+
+
+def with_overrides(rows: DataFrame, live: DataFrame, key: str, *values: str) -> DataFrame:
+    """Rows with the live values where there are any; live rows without a row of their own are added."""
+    both = rows.select(key, *values).join(live.select(key, *[F.col(v).alias(f"_{v}") for v in values], F.lit(True).alias("_live")), key, "full_outer")
+    return both.select(key, *[F.coalesce(f"_{v}", v).alias(v) for v in values], F.coalesce("_live", F.lit(False)).alias("live"))
+
+
+def digest_check(admitted: DataFrame, found: DataFrame, key: str = "path", digest: str = "sha256") -> DataFrame:
+    """(key, result): ok or mismatch for what was admitted, missing if it is not found, unexpected for what else is found."""
+    a = admitted.select(F.col(key).alias("_a"), F.col(digest).alias("_x"))
+    b = found.select(F.col(key).alias("_b"), F.col(digest).alias("_y"))
+    result = F.when(F.col("_a").isNull(), "unexpected").when(F.col("_b").isNull(), "missing").when(F.col("_x").eqNullSafe(F.col("_y")), "ok").otherwise("mismatch")
+    return a.join(b, F.col("_a") == F.col("_b"), "full_outer").select(F.coalesce("_a", "_b").alias(key), result.alias("result"))
+
+
+def rows_as_json(df: DataFrame, by: str, *columns: str) -> DataFrame:
+    """(by, rows): each group's rows as one JSON array, ordered by their columns. A group becomes one value, so this is for registries, not for events."""
+    return df.groupBy(by).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*columns)))).alias("rows"))
+
+
+def clean_tags(tags: Column, most: int = 32, longest: int = 64) -> Column:
+    """Tags trimmed, in order; null if there are too many, or one is blank or too long."""
+    trimmed = F.transform(tags, lambda t: F.trim(t))
+    return F.when((F.size(trimmed) <= most) & F.forall(trimmed, lambda t: (F.length(t) > 0) & (F.length(t) <= longest)), trimmed)

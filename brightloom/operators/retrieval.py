@@ -133,3 +133,25 @@ def cut_to_characters(items: DataFrame, group: str, order: str, text: str, most:
     before = F.coalesce(F.sum(F.length(text)).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     n = items.select(group, order, F.col(text).alias("_t"), before.alias("_before")).where(F.col("_before") < most)
     return n.select(group, order, F.left("_t", (F.lit(most) - F.col("_before")).cast("int")).alias("excerpt"))
+
+
+def rerank_document(kind: Column, path: Column, title: Column, symbol: Column, snippet: Column, most: int = 4000) -> Column:
+    """What a reranker sees of a candidate, as JSON with its keys in this order; the snippet goes where the whole would be too long, null if even that is."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    made = lambda text: F.to_json(F.struct(kind.alias("source_kind"), blank(path).alias("path"), blank(title).alias("title"), blank(symbol).alias("qualified_symbol"), text.alias("snippet")))
+    full, bare = made(F.left(blank(snippet), F.lit(most))), made(F.lit(""))
+    return F.when(F.length(full) <= most, full).when(F.length(bare) <= most, bare)
+
+
+def concept_vector(text: Column, concepts: Sequence[Sequence[str]]) -> Column:
+    """An offline embedding: how many words of each concept a text has, scaled to length 1; all zero without any."""
+    w = F.array_distinct(words(text))
+    n = F.array(*[F.size(F.array_intersect(w, F.array(*map(F.lit, c)))).cast("double") for c in concepts])
+    norm = F.sqrt(F.aggregate(n, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(n, lambda x: F.when(norm > 0, F.round(x / F.nullif(norm, F.lit(0.0)), 8)).otherwise(0.0))
+
+
+def overlap_score(query: Column, document: Column) -> Column:
+    """An offline rerank score: shared words, and a fraction below 1/1000 from a hash of both, so that equal overlaps have one order everywhere."""
+    tie = F.conv(F.left(F.sha2(F.concat_ws("\u0000", query, document), 256), F.lit(8)), 16, 10).cast("double") / 2**32
+    return F.size(F.array_intersect(F.array_distinct(words(query)), F.array_distinct(words(document)))) + tie / 1000

@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,3 +33,27 @@ def fold(spark: SparkSession, path: str, parse: Callable[[DataFrame], DataFrame]
     run = unique.writeStream.outputMode("complete").option("checkpointLocation", f"{into}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
     run.awaitTermination()
     return spark.read.parquet(f"{into}/result-{numbers[-1]}")
+
+
+def valid_cursor(cursor: Column) -> Column:
+    """A cursor as a long; null for what is no positive whole number in ASCII digits."""
+    return F.when(F.rlike(cursor, F.lit("^[1-9][0-9]{0,18}$")), cursor.try_cast("long"))
+
+
+def replay(spark: SparkSession, path: str, into: str, cursor: int = 0, id_col: str = "event_id", files_per_batch: int = 100) -> DataFrame:
+    """All events after a cursor, each id once, appended to the table `into` in the shared storage; returns the table.
+
+    A further call with the same `into` reads only files that came since and still knows the ids that went before, so a caller that was cut off
+    catches up without gaps or repeats. Files with the same content under other names add nothing.
+    """
+    schema = spark.read.parquet(path).schema
+    new = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path).where(F.col(id_col) > cursor).dropDuplicates([id_col])
+    run = new.writeStream.outputMode("append").format("parquet").option("path", f"{into}/events").option("checkpointLocation", f"{into}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{into}/events")
+
+
+def frames(events: DataFrame, id_col: str, kind: str, *data: str) -> DataFrame:
+    """(id, frame): events as server-sent events; the data is JSON with sorted keys, so equal events have equal frames."""
+    body = F.to_json(F.struct(*sorted(data)))
+    return events.select(id_col, F.concat(F.lit("id: "), F.col(id_col).cast("string"), F.lit("\nevent: "), kind, F.lit("\ndata: "), body, F.lit("\n\n")).alias("frame"))

@@ -3,6 +3,7 @@ import json
 import pytest
 from brightloom.operators import charts, code, disclosure, documents, patches
 from brightloom.sources import files, git
+from brightloom.streaming import events as stream
 from pyspark.sql import functions as F
 
 
@@ -76,3 +77,17 @@ def test_levels(spark):
     no, yes = F.lit(False), F.lit(True)
     assert [r[0] for r in df.select(disclosure.final_level(F.col("s"), [no, yes, no, no, yes, no])).collect()] == [1, 4, 5]
     assert df.select(disclosure.bound(F.lit("other"), F.col("s"))).first()[0] == 0
+
+
+def test_replay_goes_on_where_it_stopped(spark, tmp_path):
+    write = lambda ids: spark.createDataFrame([(i, str(i)) for i in ids], "event_id long, x string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    write(range(1, 6))
+    assert stream.replay(spark, str(tmp_path / "in"), str(tmp_path / "out"), 2).count() == 3
+    write([4, 5, 6, 6, 7])
+    got = stream.replay(spark, str(tmp_path / "in"), str(tmp_path / "out"), 2)
+    assert sorted(r.event_id for r in got.collect()) == [3, 4, 5, 6, 7]
+
+
+def test_cursors(spark):
+    df = spark.createDataFrame([("12",), ("0",), ("01",), ("-1",), ("1a",), ("",), (None,), ("9" * 19,)], "c string")
+    assert [r[0] for r in df.select(stream.valid_cursor(F.col("c"))).collect()] == [12] + [None] * 7

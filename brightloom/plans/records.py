@@ -22,13 +22,16 @@ def live_overrides(spark, sf_dir):
     return memory.with_overrides(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("state")), live, "id", "state")
 
 
-@query("""WITH a AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 5 <> 0), b AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 6 <> 0)
-    SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'unexpected' WHEN b.doc_id IS NULL THEN 'missing' WHEN a.h IS NOT DISTINCT FROM b.h THEN 'ok' ELSE 'mismatch' END AS result FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
+@query("""WITH a AS (SELECT doc_id, sha256(text) AS h FROM documents), b AS (SELECT doc_id + 5 AS doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents
+    UNION ALL SELECT doc_id + 1000000000, sha256(text) FROM documents), c AS (SELECT doc_id + 1000000000 AS doc_id, h FROM a UNION ALL SELECT * FROM a)
+    SELECT coalesce(c.doc_id, b.doc_id) AS doc_id, CASE WHEN c.doc_id IS NULL THEN 'unexpected' WHEN b.doc_id IS NULL THEN 'missing' WHEN c.h IS NOT DISTINCT FROM b.h THEN 'ok' ELSE 'mismatch' END AS result FROM c FULL JOIN b ON c.doc_id = b.doc_id""")
 def digest_check(spark, sf_dir):
-    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    """All documents under two names each: under the one the texts agree, under the other they were moved by five ids and some edited."""
+    d, i, far = table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("doc_id") + 1_000_000_000
     edited = F.when(i % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    # The two generations differ on purpose: each lacks some documents of the other.
-    return memory.digest_check(d.where(i % 5 != 0).select("doc_id", sha256_text(F.col("text")).alias("h")), d.where(i % 6 != 0).select("doc_id", sha256_text(edited).alias("h")), "doc_id", "h")
+    as_is = lambda at: d.select(at.alias("doc_id"), sha256_text(F.col("text")).alias("h"))
+    moved = d.select((i + 5).alias("doc_id"), sha256_text(edited).alias("h"))
+    return memory.digest_check(as_is(i).unionByName(as_is(far)), moved.unionByName(as_is(far)), "doc_id", "h")
 
 
 @query("""SELECT n_regionkey, '[' || string_agg('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}', ',' ORDER BY n_name) || ']' AS rows FROM nation GROUP BY 1""")

@@ -18,7 +18,7 @@ _E = f"""e AS (SELECT event_id AS ordering_id, user_id % 10 AS project_id, {_KIN
     CASE event_type WHEN 'cache.hit' THEN true WHEN 'cache.miss' THEN false END AS hit FROM e)"""
 _RATE = """SELECT project_id, '{chart}' AS chart, '{series}' AS series, ordering_id, g / (g + b) AS value, 'EXACT' AS provenance FROM (SELECT *, sum(({c} IS TRUE)::INT) OVER w AS g, sum(({c} IS FALSE)::INT) OVER w AS b,
     row_number() OVER (PARTITION BY project_id ORDER BY ordering_id DESC) AS back FROM v {where} WINDOW w AS (PARTITION BY project_id ORDER BY ordering_id)) WHERE back <= 50 AND g + b > 0"""
-_STORE = "SELECT c_nationkey AS project_id, round(sum(greatest(c_acctbal, 0)), 2) AS logical, round(sum(greatest(c_acctbal, 0)) / 2, 2) AS physical FROM customer GROUP BY 1"
+_STORE = "SELECT c_nationkey AS project_id, round(sum(greatest(c_acctbal, 0)), 2) AS logical, round(sum(greatest(c_acctbal, 0)) / 2, 4) AS physical FROM customer GROUP BY 1"
 _POINTS = f"""{_E}, s AS ({_STORE}), x AS (
     SELECT project_id, ordering_id, 1 AS pos, 'tokens-over-time' AS chart, 'input_tokens' AS series, input AS value, prov AS provenance FROM v
     UNION ALL SELECT project_id, ordering_id, 2, 'tokens-over-time', 'output_tokens', output, prov FROM v
@@ -52,7 +52,7 @@ def payload_events(spark, sf_dir) -> DataFrame:
 
 def project_storage(spark, sf_dir) -> DataFrame:
     total = F.sum(F.greatest(F.col("c_acctbal"), F.lit(0.0)))
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("project_id")).agg(F.round(total, 2).alias("logical"), F.round(total / 2, 2).alias("physical"))
+    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("project_id")).agg(F.round(total, 2).alias("logical"), F.round(total / 2, 4).alias("physical"))
 
 
 @query(f"WITH {_POINTS} SELECT * FROM points")

@@ -56,9 +56,9 @@ def slot_schedule(sources: DataFrame, block: int) -> DataFrame:
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, block: int = 1024, seed: int = 7,
+    weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, block: int = 1024, seed: int = 7, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The mix in pieces: (id, row, size, source_size, target, slot, pass, start, end).
+    """The mix in pieces: (id, carried columns, row, size, source_size, target, slot, pass, start, end).
 
     Documents of a source lie on a line of words in an order shuffled by hash. The line, repeated, is cut into as many equal blocks as the source
     has slots; together they hold its target, rounded to words. A piece says that slot `slot` holds the words `start` to `end` (exclusive) of the
@@ -68,7 +68,7 @@ def mix(
     The order depends on ids, sizes and `seed` only, so reruns agree. A source with a third of all rows is cut into hash ranges for the running
     sums, and its blocks join by (source, turn), which spreads evenly.
     """
-    sized = settle(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    sized = settle(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *carry))
     sources = source_targets(sized, weights, share, limit).withColumn("take", F.least(F.round("target").cast("long"), (F.lit(limit) * F.col("source_size")).cast("long")))
     sources = written(sources, "sources")
     schedule = slot_schedule(sources, block)
@@ -89,7 +89,7 @@ def mix(
     rows = rows.withColumn("b0", F.expr("turn * base + least(turn, extra)")).withColumn("b1", F.expr("(turn + 1) * base + least(turn + 1, extra)"))
     mixed = rows.join(schedule, ["rank", "turn"], "left")
     return mixed.select(
-        F.col("_id").alias(id_col), F.concat_ws("-", "rank", "part", "at_row").alias("row"), "size", "source_size", "target", "slot", "pass",
+        F.col("_id").alias(id_col), *carry, F.concat_ws("-", "rank", "part", "at_row").alias("row"), "size", "source_size", "target", "slot", "pass",
         F.expr("greatest(x0, b0) - x0").alias("start"), F.expr("least(x1, b1) - x0").alias("end"),
     )
 

@@ -5,44 +5,72 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.llm import exact_dedup, langid, mixing, packing, simhash
 from brightloom.llm.common import shared_dir, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: The number of a row, which tells apart rows whose ids are null or repeat.
+ROW = "pipeline_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row, ROW. The first stage writes it with its result; a table that comes without it is written here, as the numbers must not change between two reads."""
+    return docs.select(*COLUMNS, ROW) if ROW in docs.columns else written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)), "rows")
+
+
+def order_of(text: Column) -> Column:
+    """What the row that stays is least by: its id, null last; rows that repeat an id by their texts, then by number."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("hash"), F.col(ROW).alias("row"))
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The documents whose ids are not in `dropped`. The ids are written first, so the planner knows their size: few are broadcast, many are joined by shuffle."""
-    return docs.select(*COLUMNS).join(written(dropped.select(F.col("doc_id").alias("_drop")), "dropped"), F.col("doc_id") == F.col("_drop"), "left_anti").select(*COLUMNS)
+    """The documents whose row numbers are not in `dropped`. The numbers are written first, so the planner knows their size: few are broadcast, many are joined by shuffle."""
+    return docs.join(written(dropped.select(F.col("row").alias("_drop")), "dropped"), F.col(ROW) == F.col("_drop"), "left_anti").select(*COLUMNS, ROW)
+
+
+def beside_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(row): the rows that go of groups given as (node, root), roots left out: all but the least of each group."""
+    every = written(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
+    named = docs.join(every, F.col(ROW) == F.col("node")).select("root", order_of(F.col("text")).alias("order"))
+    named = written(named, "named")
+    stays = written(named.groupBy("root").agg(F.min("order").alias("least")), "stays")
+    return named.join(stays, "root").where("order.row <> least.row").select("order.row")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null or no letter) go; the rest carry the language found."""
     found = langid.language_of(docs, carry=("text", "source", "n_chars"))
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    found = found.where(F.col("lang_pred") != langid.UNKNOWN).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    return found.withColumn(ROW, F.monotonically_increasing_id())
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z in either case), the one with the smallest id stays."""
-    return without(docs, exact_dedup.exact_duplicates(docs, keep="min").where("NOT kept"))
+    """Of equal texts (A-Z in either case), one row stays: the one with the smallest id."""
+    docs = numbered(docs)
+    keyed = docs.select(order_of(F.col("text")).alias("_key"), "text")
+    return without(docs, exact_dedup.exact_duplicates(keyed, id_col="_key", keep="min").where("NOT kept").select("_key.row"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id stays."""
-    return without(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"))
+    """Of each group of near-duplicates, one row stays: the one with the smallest id."""
+    docs = numbered(docs)
+    keyed = docs.select(F.col(ROW).alias("row"), "text")
+    found = simhash.near_duplicates(keyed, id_col="row").withColumnRenamed("component_id", "root")
+    return without(docs, beside_least(docs, found.where("row <> root").select(F.col("row").alias("node"), "root")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: a row per pass over their source in which at least half of their words are taken."""
+    docs = numbered(docs)
     words = F.sum(F.when(F.col("slot").isNotNull(), F.col("end") - F.col("start")))
-    taken = mixing.mix(docs).where("pass IS NOT NULL").groupBy("doc_id", "row", "pass", "size").agg(words.alias("words"))
-    taken = taken.where("words * 2 >= size").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    taken = written(taken.withColumnRenamed("doc_id", "_taken"), "taken")
+    taken = mixing.mix(docs, carry=(ROW,)).where("pass IS NOT NULL").groupBy(ROW, "pass", "size").agg(words.alias("words"))
+    taken = taken.where("words * 2 >= size").groupBy(ROW).agg(F.count(F.lit(1)).cast("int").alias("times"))
+    taken = written(taken.withColumnRenamed(ROW, "_taken"), "taken")
     # Nearly every document is taken, so the counts grow with the documents: the same merge join at every size.
-    both = docs.select(*COLUMNS).join(taken.hint("merge"), F.col("doc_id") == F.col("_taken"))
+    both = docs.join(taken.hint("merge"), F.col(ROW) == F.col("_taken"))
     return both.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_time")).select(*COLUMNS)
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm import exact_dedup, langid, mixing, packing, simhash
+from brightloom.llm import exact_dedup, langid, mixing, packing, resemblance
 from brightloom.llm.common import shared_dir, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -57,9 +57,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, one row stays: the one with the smallest id."""
     docs = numbered(docs)
-    keyed = docs.select(F.col(ROW).alias("row"), "text")
-    found = simhash.near_duplicates(keyed, id_col="row").withColumnRenamed("component_id", "root")
-    return without(docs, beside_least(docs, found.where("row <> root").select(F.col("row").alias("node"), "root")))
+    return without(docs, beside_least(docs, resemblance.near_copies(docs, ROW)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,7 +85,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_lengths),
 ]
 
-#: Rank-order language ID, SimHash and the hash-shuffled schedule are not SQL; the tests hold run() against a plain Python version.
+#: Rank-order language ID, shingle similarity and the hash-shuffled schedule are not SQL; tests/llm/test_pipeline.py holds both drops against plain Python versions and tries run() with null and repeated ids.
 ORACLE_SQL = None
 
 

@@ -1,7 +1,10 @@
 import random
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline as pipeline
+from brightloom.llm import resemblance
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, size long, part int"
 
@@ -59,3 +62,74 @@ def test_run_keeps_null_and_repeated_ids(spark, tmp_path):
 def test_run_of_nothing(spark, tmp_path):
     docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def families(rnd):
+    """Texts near each other at shingle similarities about 0.8 to 0.95 and below, in pairs, chains and a large group."""
+    found = []
+
+    def changed(words, k):
+        out = list(words)
+        for at in rnd.sample(range(len(out)), k):
+            out[at] = prose(rnd, 1)
+        return out
+
+    for k in (1, 2, 3, 4, 5, 6, 8, 10, 15):  # words changed of 220
+        for _ in range(3):
+            base = prose(rnd, 220).split()
+            found += [base, changed(base, k)]
+    chain = prose(rnd, 220).split()
+    for _ in range(12):
+        chain = changed(chain, 4)
+        found.append(chain)
+    hub = prose(rnd, 220).split()
+    found += [changed(hub, 2) for _ in range(70)]
+    found += [changed(hub, 9) for _ in range(25)]
+    short = prose(rnd, 4).split()
+    found += [short, short[:3], [*short[:3], "other"], prose(rnd, 60).split()]
+    rnd.shuffle(found)
+    return [" ".join(w).upper() if k % 7 == 0 else " ".join(w) for k, w in enumerate(found)]
+
+
+def plain_groups(texts, width=5, limit=0.8):
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))}
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= limit * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [find(x) for x in range(len(texts))]
+
+
+@pytest.mark.parametrize("few, size", [(20_000, None), (20, 40)])
+def test_near_copies_are_those_of_all_pairs(spark, few, size):
+    texts = families(random.Random(11))[:size]
+    found = resemblance.near_copies(spark.createDataFrame(list(enumerate(texts)), "row long, text string"), "row", few=few)
+    got = {r.node: r.root for r in found.collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == plain_groups(texts)
+
+
+def test_near_stage_keeps_one_row_a_group(spark):
+    rnd = random.Random(12)
+    texts = families(rnd)
+    ids = [rnd.choice([None, 5, 5, *range(100, 400)]) for _ in texts]
+    want, groups = [], plain_groups(texts)
+    for root in set(groups):
+        mine = [ids[i] for i, g in enumerate(groups) if g == root]
+        want.append(min((i for i in mine if i is not None), default=None))
+    left = pipeline.drop_near_copies(spark, docs(spark, [(i, t, "a") for i, t in zip(ids, texts)]), "").collect()
+    assert Counter(r.doc_id for r in left) == Counter(want)
+    at = {t: groups[i] for i, t in enumerate(texts)}
+    assert len({at[r.text] for r in left}) == len(left)
+    assert pipeline.drop_near_copies(spark, docs(spark, []), "").count() == 0

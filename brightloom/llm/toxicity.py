@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +25,17 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
 _SIGN = "".join(re.escape(c) for c in LEET)
-#: Words with signs or digits among letters; words with a letter three times in a row; single letters set apart.
-MIXED = re.compile(rf"(?<![^\W\d_])(?=[{_SIGN}]{{0,3}}[^\W\d_])(?:[^\W\d_]|[{_SIGN}]){{3,24}}(?![^\W_])")
-DRAWN = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_]|[0134578@$!])(?:([ ._*-])(?:[^\W\d_]|[0134578@$!])(?:\1(?:[^\W\d_]|[0134578@$!])){2,22})(?![^\W_])")
-#: Log costs of the channel: a sign for a letter, a letter drawn out, a letter for itself.
-COST = {"sign": -2.0, "drawn": -1.5, "same": 0.0}
+_LETTER = r"[^\W\d_]"
+#: Letters of a word's beginnings at most.
+LONGEST = 12
+#: Runs of letters and signs; a letter three times in a row; three letters or more set apart by one to four other characters each.
+MIXED = re.compile(rf"(?:{_LETTER}|[{_SIGN}])+")
+TRIPLE = re.compile(rf"({_LETTER})\1\1")
+RUN = re.compile(rf"{_LETTER}+")
+SPACED = re.compile(rf"(?<![^\W_])(?:{_LETTER}|[0134578@$])(?:[\W_]{{1,4}}(?:{_LETTER}|[0134578@$!])){{2,}}(?![^\W_])")
+APART = re.compile(rf"{_LETTER}|[0134578@$!]")
+#: Log costs of the channel: a sign for a letter, a letter drawn out, a letter for itself, a new word between letters set apart.
+COST = {"sign": -2.0, "drawn": -1.5, "same": 0.0, "edge": -1.0}
 
 
 def trigram_codes(text: str) -> np.ndarray:
@@ -39,26 +47,30 @@ def trigram_codes(text: str) -> np.ndarray:
     return np.concatenate(found)
 
 
-def learn_letters(docs: DataFrame, text_col: str = "text", most: int = 50_000) -> dict[tuple[str, str, str], int]:
-    """Counts of letter trigrams over all given texts; of them the `most` frequent are kept in the model, ties by code."""
-    n = gram_counts(docs.select(F.lit("").alias("_key"), text_col), "_key", text_col, trigram_codes)
+def learn_letters(docs: DataFrame, text_col: str = "text", least: int = 2) -> dict[str, dict]:
+    """Counts over all given texts: letter pairs after a letter ("bi") and before one ("after"), all of them, and trigrams ("tri") seen `least` times.
+
+    What a trigram left out would have said is backed off to its pair, whose counts include it, so no mass is lost. The tables are bounded by the
+    letters that the texts use, not by their number.
+    """
+    n = settle(gram_counts(docs.select(F.lit("").alias("_key"), text_col), "_key", text_col, trigram_codes).select("gram", "n"))
     low = (1 << 21) - 1
-    rows = n.orderBy(F.desc("n"), "gram").limit(most).collect()
-    return {tuple(chr(c) if c else "" for c in (r["gram"] >> 42, r["gram"] >> 21 & low, r["gram"] & low)): r["n"] for r in rows}
+    sign = lambda c: chr(c) if c else ""
+    of = lambda key: {(sign(r["k"] >> 21 & low), sign(r["k"] & low)): r["n"] for r in n.groupBy(key.alias("k")).agg(F.sum("n").alias("n")).collect()}
+    tri = {tuple(sign(c) for c in (r["gram"] >> 42, r["gram"] >> 21 & low, r["gram"] & low)): r["n"] for r in n.where(F.col("n") >= least).collect()}
+    return {"tri": tri, "bi": of(F.col("gram").bitwiseAND((1 << 42) - 1)), "after": of(F.shiftright("gram", 21))}
 
 
 class Letters:
     """Letter model: log-probability of a letter after two others, interpolated with shorter contexts. "" is a word's edge."""
 
-    def __init__(self, counts: dict[tuple[str, str, str], int]) -> None:
-        self.tri: Counter = Counter(counts)
-        self.bi, self.uni, self.after2, self.after1 = Counter(), Counter(), Counter(), Counter()
-        for (a, b, c), n in counts.items():
-            self.bi[b, c] += n
+    def __init__(self, counts: dict[str, dict]) -> None:
+        self.tri, self.bi, self.after2 = (Counter(counts[k]) for k in ("tri", "bi", "after"))
+        self.uni, self.after1 = Counter(), Counter()
+        for (b, c), n in counts["bi"].items():
             self.uni[c] += n
-            self.after2[a, b] += n
             self.after1[b] += n
-        self.total = sum(counts.values()) or 1
+        self.total = sum(self.uni.values()) or 1
 
     def log(self, a: str, b: str, c: str) -> float:
         p = (self.uni[c] + 0.5) / (self.total + 100)
@@ -85,28 +97,44 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return found
 
 
-def restore(token: str, model: Letters) -> str:
-    """The likeliest word behind a token: Viterbi over its lattice, with the last two letters as the state."""
-    best: dict[tuple[str, str], tuple[float, str]] = {("", ""): (0.0, "")}
-    for options in lattice(token):
-        new: dict[tuple[str, str], tuple[float, str]] = {}
-        for (a, b), (p, word) in best.items():
+def restore(token: str, model: Letters, apart: bool = False) -> str:
+    """The likeliest text behind a token: Viterbi over its lattice, with the last two letters as the state. Linear in the token's length.
+
+    Letters set apart (`apart`) may also start a new word anywhere, so that a word is found behind those that were spelled out before it.
+    """
+    best: dict[tuple[str, str], tuple[float, tuple | None]] = {("", ""): (0.0, None)}
+    for k, options in enumerate(lattice(token)):
+        if apart and k:
+            options = [*options, *((f" {letters}", cost + COST["edge"]) for letters, cost in options)]
+        new: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+        for (a, b), (p, back) in best.items():
             for letters, cost in options:
                 q, x, y = p + cost, a, b
                 for c in letters:
-                    q += model.log(x, y, c)
-                    x, y = y, c
+                    if c == " ":
+                        q += model.log(x, y, "")
+                        x = y = ""
+                    else:
+                        q += model.log(x, y, c)
+                        x, y = y, c
                 if (x, y) not in new or new[x, y][0] < q:
-                    new[x, y] = (q, word + letters)
+                    new[x, y] = (q, (back, letters))
         best = new
-    return max(((p + model.log(a, b, ""), word) for (a, b), (p, word) in best.items()), default=(0, ""))[1]
+    back = max(((p + model.log(a, b, ""), k, back) for k, ((a, b), (p, back)) in enumerate(best.items())), key=lambda x: (x[0], -x[1]), default=(0, 0, None))[2]
+    found = []
+    while back:
+        back, letters = back
+        found.append(letters)
+    return "".join(reversed(found))
 
 
 def hidden_in(word: str) -> tuple[str, ...]:
     """Tokens of one word without white space that may hide another: signs among letters, drawn-out letters."""
     mixed = (m[0].rstrip("!|+(") for m in MIXED.finditer(word))
-    found = [t for t in mixed if any(c in LEET for c in t) and sum(c.isalpha() for c in t) * 2 >= len(t)]
-    return (*found, *(m[0] for m in DRAWN.finditer(word) if len(m[0]) <= 40))
+    found = [t for t in mixed if any(c in LEET for c in t) and any(c.isalpha() for c in t)]
+    if TRIPLE.search(word):
+        found += [m[0] for m in RUN.finditer(word) if TRIPLE.search(m[0])]
+    return tuple(found)
 
 
 class _Hidden(dict):
@@ -124,71 +152,77 @@ class _Hidden(dict):
 _hidden = _Hidden()
 
 
-def candidates(text: str) -> Iterator[str]:
-    """Tokens of a lower-case text that may hide a word: those inside its distinct words, and letters set apart."""
-    for word in set(text.split()):
-        yield from _hidden[word]
+def candidates(text: str) -> Iterator[tuple[str, bool]]:
+    """(token, set apart) of a lower-case text: tokens that may hide a word inside its distinct words, and letters set apart."""
+    for token in chain.from_iterable(map(_hidden.__getitem__, set(text.split()))):
+        yield token, False
     for m in SPACED.finditer(text):
-        yield m[0].replace(m[1], "")
+        yield "".join(APART.findall(m[0])), True
 
 
-def restored(text: str, model: Letters, known: dict[str, str]) -> str:
+def restored(text: str, model: Letters, known: dict[tuple[str, bool], str]) -> str:
     """The text in lower case, followed by the words restored from its obfuscated tokens."""
     low = text.lower()
     words = []
     for token in set(candidates(low)):
-        if token not in known:
+        word = known.get(token)
+        if word is None:
+            word = restore(token[0], model, token[1])
+            if token[1]:  # a word may start at any of the letters set apart
+                joined = word.replace(" ", "")
+                word = " ".join([word, *(joined[i : i + LONGEST] for i in range(1, len(joined) - 3))])
             if len(known) > 1 << 16:
                 known.clear()
-            known[token] = restore(token, model)
-        words.append(known[token])
+            if len(word) <= 64:
+                known[token] = word
+        words.append(word)
     return f"{low} {' '.join(sorted(words))}" if words else low
 
 
-_WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(text: str) -> set[str]:
     """Words of a restored text and their beginnings of four letters and more."""
-    return {w[:k] for w in set(_WORD.findall(text)) for k in range(min(4, len(w)), min(len(w), 12) + 1)}
+    return {w[:k] for w in set(RUN.findall(text)) for k in range(min(4, len(w)), min(len(w), LONGEST) + 1)}
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 20_000, max_features: int = 2000) -> dict:
-    """The model: letter trigrams over all texts that are not held out, and weighted word beginnings.
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 20_000, max_features: int = 20_000) -> dict:
+    """The model: letter counts over all texts that are not held out, and a logistic regression over word beginnings of restored texts.
 
-    The beginnings are fitted on a bounded sample: the `fit_rows` labelled, not held-out ids with the smallest hashes. Candidates are those that
-    occur in four toxic rows or more and nearly only there; they are taken greedily while they explain toxic rows that none before explained,
-    and weighted by log odds. Ids with null labels are not used; an id with several labels counts as toxic if one says so.
+    The regression is fitted on a bounded sample: the `fit_rows` labelled, not held-out ids with the smallest hashes. Its candidates are the beginnings
+    that two toxic rows or more have, at three times the rate of clean ones, the `max_features` with the most evidence. An elastic net chooses among
+    them; the chosen ones are weighted again without its shrinking, so that the score is a probability, and share it with the net's own weights,
+    which rank texts with weak evidence. Ids with null labels are not used; an id with several labels counts as toxic if one says so. Without toxic
+    and clean rows there are no weights, and every text scores the share of toxic rows.
     """
     train = docs.where(~held_out(F.col(id_col)))
     letters = learn_letters(train, text_col)
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    chosen = usable.groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y")).orderBy(F.xxhash64(id_col), id_col).limit(fit_rows)
+    chosen = usable.groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("_y")).orderBy(F.xxhash64(id_col), id_col).limit(fit_rows)
     model = Letters(letters)
     fit = train.select(id_col, F.col(text_col).alias("_t")).join(F.broadcast(settle(chosen)), id_col)  # at most fit_rows ids
     rows = settle(each_text(fit, id_col, "_t", "words array<string>", lambda t, known={}: (sorted(features(restored(t, model, known))),), ("_y",)))
     total = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = total.get(1, 0), total.get(0, 0)
+    base = math.log((toxic + 0.5) / (clean + 0.5))
     counts = rows.select("_y", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(F.col("_y") == 1).alias("t"), F.count_if(F.col("_y") == 0).alias("c"))
-    counts = settle(counts.where("t >= 4 AND c <= t / 20"))
-    seen = {r["word"]: (r["t"], r["c"]) for r in counts.collect()}  # of a bounded sample
-    having: dict[str, set] = defaultdict(set)
-    hits = rows.where("_y = 1").select(id_col, F.explode("words").alias("word")).join(counts.select("word"), "word", "left_semi")
-    for r in hits.groupBy("word").agg(F.collect_set(id_col).alias("ids")).collect():
-        having[r["word"]] = set(r["ids"])
-    weights, covered = {}, set()
-    while having and len(weights) < max_features:
-        word = max(having, key=lambda w: (len(having[w]), len(w), w))
-        gain = having.pop(word)
-        if len(gain) < 3:
-            break
-        covered |= gain
-        t, c = seen[word]
-        weights[word] = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-        having = {w: left for w, ids in having.items() if (left := ids - gain)}
-    missed = toxic - len(covered)
-    # Log odds before any word is seen, and where none of the words is found.
-    return {"letters": letters, "weights": weights, "base": math.log((toxic + 0.5) / (clean + 0.5)), "prior": math.log((missed + 0.5) / (clean + 1))}
+    counts = counts.where(F.col("t") * clean >= 3 * (F.col("c") + 0.5) * toxic).where("t >= 2")
+    words = [r["word"] for r in counts.orderBy(F.desc(F.col("t") * F.log((F.col("t") + 0.5) * (clean + 1) / ((F.col("c") + 0.5) * (toxic + 1)))), "word").limit(max_features).collect()] if toxic and clean else []
+    if not words:
+        return {"letters": letters, "weights": {}, "base": base}
+    held = rows.select(F.col("_y").cast("double"), "words").coalesce(8)
+    net, _ = regression(held, words, net=0.5, strength=0.005)
+    if not net:
+        return {"letters": letters, "weights": {}, "base": base}
+    best, base = regression(held, sorted(net), net=0.0, strength=2e-4)
+    return {"letters": letters, "weights": {w: best.get(w, 0.0) + net[w] / 10 for w in net}, "base": base}
+
+
+def regression(rows: DataFrame, words: list[str], net: float, strength: float) -> tuple[dict[str, float], float]:
+    """(weights of the words that help toxic texts, intercept) of a logistic regression on rows (_y, words)."""
+    vectors = CountVectorizerModel.from_vocabulary(words, "words", "_f").setBinary(True).transform(rows)
+    fitted = LogisticRegression(featuresCol="_f", labelCol="_y", elasticNetParam=net, regParam=strength, maxIter=60, standardization=False).fit(vectors)
+    return {w: float(x) for w, x in zip(words, fitted.coefficients.toArray()) if x > 0}, float(fitted.intercept)
 
 
 @lru_cache(8)
@@ -203,10 +237,12 @@ def _automaton(words: tuple[str, ...]) -> ahocorasick.Automaton:
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per input row: (id, score from 0 to 1, predicted 0 or 1).
 
-    The restored whole text is searched for the model's word beginnings; each adds its weight once. Null and empty texts score what texts without any of them do.
+    The restored whole text is searched for the model's word beginnings; each adds its weight once. Null and empty texts score what texts without any
+    of them do, as do texts that tie in what they have. Repeated rows are scored each; an empty table gives no rows; texts of any length are
+    searched whole, in time linear in their length; other columns are ignored, whatever their names.
     """
-    weights, base, prior, letters = model["weights"], model["base"], model["prior"], Letters(model["letters"])
-    known: dict[str, str] = {}
+    weights, base, letters = model["weights"], model["base"], Letters(model["letters"])
+    known: dict[tuple[str, bool], str] = {}
     words = tuple(sorted(weights))
 
     def run(text: str) -> tuple[float, int]:
@@ -217,7 +253,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                 at = end - len(word)
                 if word not in found and not (at >= 0 and text[at].isalpha()):
                     found.add(word)
-        odds = base + sum(weights[w] for w in found) if found else prior
+        odds = base + sum(weights[w] for w in sorted(found))
         p = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
         return p, int(p >= threshold)
 
@@ -225,6 +261,9 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 20_000) -> DataFrame:
-    """(id, held_out, score, predicted) for every row, with a model learned from the rows that are not held out."""
+    """(id, held_out, score, predicted) for every row, with a model learned from the rows that are not held out; see learn() and score().
+
+    Nulls, empty and very long texts, ties, repeated rows, empty tables and other columns are as score() says; labels without a row are ignored.
+    """
     scored = score(docs, learn(docs, labels, id_col, text_col, label_col, fit_rows), id_col, text_col)
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", "predicted")

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -82,12 +83,44 @@ def test_toxicity_learns_words_and_sees_through_disguise(spark):
 
 
 def test_viterbi_finds_the_best_word():
-    model = toxicity.Letters({("", "m", "o"): 50, ("m", "o", "r"): 50, ("o", "r", "o"): 50, ("r", "o", "n"): 50, ("o", "n", ""): 50, ("", "", "m"): 50, ("o", "o", "r"): 1})
-    for token in ("m0ron", "moron", "mmmoron", "m0r0n", "mooorooon"):
+    tri = {("", "m", "o"): 50, ("m", "o", "r"): 50, ("o", "r", "o"): 50, ("r", "o", "n"): 50, ("o", "n", ""): 50, ("", "", "m"): 50, ("o", "o", "r"): 1}
+    pairs = lambda at: dict(sum((Counter({g[at : at + 2]: n}) for g, n in tri.items()), Counter()))
+    model = toxicity.Letters({"tri": tri, "bi": pairs(1), "after": pairs(0)})
+    for token in ("m0ron", "moron", "mmmoron", "m0r0n", "mooorooon", "1m0", ""):
         best = max(paths(toxicity.lattice(token)), key=lambda p: p[0] + logs(model, p[1]))
         assert toxicity.restore(token, model) == best[1]
 
 
+def test_no_disguise_is_too_long_or_too_odd():
+    text = " the moron is an idiot and a loser was stupid " * 50
+    codes, n = np.unique(toxicity.trigram_codes(text), return_counts=True)
+    grams = {tuple(chr(int(c) >> s & 0x1FFFFF) if int(c) >> s & 0x1FFFFF else "" for s in (42, 21, 0)): int(k) for c, k in zip(codes, n)}
+    pairs = lambda at: dict(sum((Counter({g[at : at + 2]: k}) for g, k in grams.items()), Counter()))
+    model = toxicity.Letters({"tri": grams, "bi": pairs(1), "after": pairs(0)})
+    hidden = {
+        "m" + "o" * 45 + "r0n": "moron", "m  o  r  o  n": "moron", "m,o,r,o,n": "moron", "m/o/r/o/n": "moron", "m-o r-o n": "moron", "1d10t": "idiot", "!d!0t": "idiot",
+        "1053r": "loser", "idi" + "o" * 45 + "t": "idiot", "i-d.i-o t": "idiot", "i\nd\ni\no\nt": "idiot", "st" + "u" * 30 + "p1d": "stupid", "such a i d i o t": "idiot", "y o u i d i o t": "idiot",
+    }
+    for token, word in hidden.items():
+        assert word in toxicity.restored(f"xx {token} yy", model, {}).split(), token
+    long = ["a" * 1_000_000, "ab " * 400_000, "x" * 999_999 + "0", "a b " * 300_000]
+    for t in long:
+        began = time.time()
+        toxicity.restored(t, model, {})
+        assert time.time() - began < 20  # linear: minutes to days otherwise
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_toxicity_ranks_held_out_rows(spark, sf):
+    """Area under the curve on rows that nothing was learned from: the share of (toxic, clean) pairs in order, ties as half."""
+    at = f"/root/testdata/{sf}"
+    table, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    said = {r.doc_id: r.toxic for r in labels.where("toxic IS NOT NULL").collect()}
+    got = [(said[r.doc_id], r.score) for r in toxicity.toxicity(table, labels).where("held_out").collect() if r.doc_id in said]
+    bad, fine = [s for y, s in got if y], [s for y, s in got if not y]
+    assert sum((b > f) + (b == f) / 2 for b in bad for f in fine) / (len(bad) * len(fine)) >= 0.95
+
+
 def paths(lattice):
     found = [(0.0, "")]
     for options in lattice:

@@ -1,77 +1,75 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text gives each document's perplexity.
 
-The model's unit is the character: n-grams of ORDER signs over an alphabet of the most frequent characters. Its counts, continuation counts and
-discounts are Spark groupings and joins, sharded by n-gram and by context. How a document meets them is a choice of size: a model of up to
-`ship_rows` n-grams (a checked number) goes to the workers; a larger one is joined to the documents' n-grams by shuffle. Both give the same
-perplexities.
+The model's unit is a sign: a UTF-16 code unit of the folded text, so no character of any script is left out and rare ones are spelled with two
+signs. An n-gram of ORDER signs fills 64 bits. Counts, continuation counts, discounts and the probabilities of all n-grams that the documents have are
+Spark groupings and joins, sharded by n-gram and by context. A document's log-probability is the sum over its n-grams, in fixed point, so it does not
+depend on the order of the sum: whether the looked-up probabilities go to the workers (up to `ship_rows` of them, a checked number) or are joined to the
+documents' n-grams by shuffle, each perplexity is the same to the bit.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, written
 from .texts import blocks, code_points, each_text, gram_counts
 
 ORDER = 4
-#: Signs of the alphabet, in six bits: 0 starts a text, 1 is any character not in the alphabet, 2 says that a capital follows.
-BITS, SIGNS, START, OTHER, CAPITAL = 6, 64, 0, 1, 2
+#: Signs have 16 bits. Those of no character: what stands before a text, and what says that a capital follows.
+BITS, START, CAPITAL = 16, 0, 0xFFFE
+#: Fixed point of log-probabilities.
+SCALE = 1 << 24
 
 
 @lru_cache(1)
 def folded() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: its lower-case form (digits as 0, white space as a space), and whether it is a capital."""
+    """By code point: its lower-case form (digits as 0, white space and NUL as a space), and whether it is a capital."""
     low, capital = np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, bool)
     for c in range(0x110000):
         ch = chr(c)
         if ch.isdigit():
             low[c] = ord("0")
-        elif ch.isspace():
+        elif ch.isspace() or not c:
             low[c] = ord(" ")
         elif (x := ch.lower()) != ch and len(x) == 1:
             low[c], capital[c] = ord(x), True
     return low, capital
 
 
-def signs(text: str, alphabet: np.ndarray) -> np.ndarray:
-    """The text as signs: capitals as CAPITAL and the small letter. alphabet: code points in order of their sign, from sign 3."""
+def signs(text: str) -> np.ndarray:
+    """The text as signs: capitals as CAPITAL and the small letter, characters beyond 16 bits as their two surrogates."""
     cp = code_points(text)
     low, capital = folded()
     cp, capital = low[cp], capital[cp]
-    order = np.argsort(alphabet)
-    at = np.minimum(np.searchsorted(alphabet[order], cp), max(alphabet.size - 1, 0))
-    sign = np.where(alphabet[order][at] == cp, order[at] + 3, OTHER) if alphabet.size else np.full(cp.size, OTHER)
-    out = np.full(cp.size + int(capital.sum()), CAPITAL, np.int64)
-    out[np.arange(cp.size) + np.cumsum(capital)] = sign
+    wide = cp >= 0x10000
+    size = 1 + capital + wide
+    end = np.cumsum(size)
+    out = np.full(int(end[-1]) if cp.size else 0, CAPITAL, np.uint64)
+    out[end - 1] = np.where(wide, 0xDC00 | (cp & 0x3FF), cp)
+    out[end[wide] - 2] = 0xD800 | ((cp[wide] - 0x10000) >> 10)
     return out
 
 
-def grams_of(text: str, alphabet: np.ndarray) -> Iterator[np.ndarray]:
+def grams_of(text: str) -> Iterator[np.ndarray]:
     """Codes of all ORDER-grams, one for each sign of the text, block by block; the text starts after ORDER - 1 START signs."""
-    before = np.full(ORDER - 1, START, np.int64)
+    before = np.full(ORDER - 1, START, np.uint64)
     for b in blocks(text):
-        s = np.concatenate([before, signs(b, alphabet)])
+        s = np.concatenate([before, signs(b)])
         before = s[-(ORDER - 1) :]
-        code = np.zeros(s.size - ORDER + 1, np.int64)
+        code = np.zeros(s.size - ORDER + 1, np.uint64)
         for i in range(ORDER):
-            code = (code << BITS) | s[i : s.size - ORDER + 1 + i]
+            code = (code << np.uint64(BITS)) | s[i : s.size - ORDER + 1 + i]
         yield code
 
 
-def learn_alphabet(docs: DataFrame, text_col: str = "text") -> list[int]:
-    """The most frequent characters of all texts, folded, as many as there are signs for; ties by code point."""
-
-    def chars(text: str) -> np.ndarray:
-        return np.concatenate([np.empty(0, np.uint64), *(folded()[0][code_points(b)].astype(np.uint64) for b in blocks(text))])
-
-    n = gram_counts(docs.select(F.lit("").alias("_key"), text_col), "_key", text_col, chars)
-    return [r["gram"] for r in n.orderBy(F.desc("n"), "gram").limit(SIGNS - 3).collect()]
+def last(gram: Column, k: int) -> Column:
+    """The last k signs of an n-gram."""
+    return gram if k == ORDER else gram.bitwiseAND((1 << BITS * k) - 1)
 
 
 def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
@@ -90,113 +88,117 @@ def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
             y = c[1] / (c[1] + 2 * c[2])
             d = [min(max(k - (k + 1) * y * c[k + 1] / c[k], 0.05), k - 0.05) for k in (1, 2, 3)]
         cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        rows = table.withColumn("context", F.shiftright("gram", BITS)).withColumn("cut", cut)
-        sums = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("cuts"))
+        rows = table.withColumn("context", F.shiftrightunsigned("gram", BITS)).withColumn("cut", cut)
+        sums = rows.groupBy("context").agg(F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.count_if(F.col("n") > 2).alias("n3"))
+        cuts = F.col("n1") * d[0] + F.col("n2") * d[1] + F.col("n3") * d[2]  # not a sum of doubles, which would depend on its order
         alpha = rows.join(sums, "context").select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("alpha"))
-        found.append((alpha, sums.select("context", (F.col("cuts") / F.col("total")).alias("gamma"))))
-        table = table.groupBy(F.col("gram").bitwiseAND((1 << BITS * (order - 1)) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        found.append((settle(alpha), settle(sums.select("context", (cuts / F.col("total")).alias("gamma")))))
+        table = table.groupBy(last(F.col("gram"), order - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
     return found[::-1]
 
 
-def dense(alphas: list[tuple[np.ndarray, np.ndarray]], gammas: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Log-probabilities of all n-grams of order ORDER, by code."""
-    p = np.full(SIGNS, 1 / SIGNS, np.float32)
-    for k in range(ORDER):
-        g = np.ones(SIGNS**k, np.float32)
-        g[gammas[k][0]] = gammas[k][1]
-        p = (g[:, None] * p.reshape(-1, SIGNS)[np.arange(SIGNS**k) % SIGNS ** max(k - 1, 0)]).ravel()
-        p[alphas[k][0]] += alphas[k][1].astype(np.float32)
-    return np.log(np.maximum(p, np.float32(1e-12)))
-
+def probabilities(grams: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(gram, log_p): the log-probability of each n-gram's last sign after the others, in units of 1 / SCALE, by joins of sharded counts.
 
-class Model:
-    """The arrays of a fitted model; the dense table is built once per worker."""
-
-    def __init__(self, alphabet: list[int], tables: list[tuple[DataFrame, DataFrame]]) -> None:
-        arrays = lambda df: (lambda t: (t.column(0).to_numpy(), t.column(1).to_numpy()))(df.toArrow())
-        self.alphabet = np.array(alphabet, np.uint32)
-        self.alphas = [arrays(a) for a, _ in tables]
-        self.gammas = [arrays(g) for _, g in tables]
-        self.name = hash((tuple(alphabet), *(float(x[1].sum()) for x in (*self.alphas, *self.gammas))))
-
-    def log_sum(self, text: str) -> tuple[int, float]:
-        """(signs, sum of their log-probabilities)."""
-        table, n, total = _dense(self), 0, 0.0
-        for codes in grams_of(text, self.alphabet):
-            n += codes.size
-            total += float(table[codes].sum(dtype=np.float64))
-        return n, total
+    Below the first order all signs are equally likely, so nothing has probability 0.
+    """
+    p = grams.withColumn("p", F.lit(1.0 / (1 << BITS)))
+    for k, (alpha, gamma) in enumerate(tables):
+        p = p.withColumn("_g", last(F.col("gram"), k + 1)).withColumn("_c", F.shiftrightunsigned(last(F.col("gram"), k + 1), BITS))
+        p = p.join(gamma.withColumnRenamed("context", "_c"), "_c", "left").join(alpha.withColumnRenamed("gram", "_g"), "_g", "left")
+        p = p.select("gram", (F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("p")).alias("p"))
+    return p.select("gram", F.round(F.log("p") * SCALE).cast("long").alias("log_p"))
 
 
-_built: dict[int, np.ndarray] = {}
+def merged_codes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a text with their counts, merged block by block, so that memory follows what is distinct."""
+    codes, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for c in grams_of(text):
+        c, k = np.unique(c, return_counts=True)
+        if codes.size:
+            codes, at = np.unique(np.concatenate([codes, c]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, k]), codes.size).astype(np.int64)
+        else:
+            codes, n = c, k
+    return codes, n
 
 
-def _dense(model: Model) -> np.ndarray:
-    if model.name not in _built:
-        _built.clear()
-        _built[model.name] = dense(model.alphas, model.gammas)
-    return _built[model.name]
+def perplexities(docs: DataFrame, trusted: Column, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), ship_rows: int = 4_000_000) -> DataFrame:
+    """(id, carried columns, signs, perplexity) for every row; the model is trained on the rows where `trusted` is true.
 
+    Null and empty texts have no sign and a null perplexity. Without a trusted text all signs are equally likely.
+    """
+    key = F.when(trusted, "t").otherwise("o")
+    every = settle(gram_counts(docs.select(key.alias("_key"), text_col), "_key", text_col, grams_of))
+    tables = kneser_ney(every.where("key = 't'").select("gram", "n"))
+    p = settle(probabilities(every.select("gram").distinct(), tables))
+    if p.count() <= ship_rows:
+        model = docs.sparkSession.sparkContext.broadcast(Table(p))
+        summed = each_text(docs, id_col, text_col, "signs long, log_p long", lambda t: model.value.log_sum(t), carry)
+    else:
+        summed = joined_sums(docs, p, id_col, text_col, carry)
+    mean = -F.col("log_p") / (F.col("signs") * F.lit(float(SCALE)))
+    return summed.select(id_col, *carry, "signs", F.when(F.col("signs") > 0, F.exp(mean)).alias("perplexity"))
 
-def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), ship_rows: int = 4_000_000) -> DataFrame:
-    """(id, carried columns, signs, perplexity) for every row. Null and empty texts have no sign and a null perplexity."""
-    alphabet = learn_alphabet(docs, text_col)
-    codes = np.array(alphabet, np.uint32)
 
-    def all_grams(text: str) -> np.ndarray:
-        return np.concatenate([np.empty(0, np.uint64), *(c.astype(np.uint64) for c in grams_of(text, codes))])
+class Table:
+    """Log-probabilities of n-grams, at most `ship_rows` of them, for workers to look up."""
 
-    counts = gram_counts(trusted.select(F.lit("").alias("_key"), text_col), "_key", text_col, all_grams).select("gram", "n")
-    tables = [(settle(a), settle(g)) for a, g in kneser_ney(counts)]
-    if tables[-1][0].count() <= ship_rows:
-        model = docs.sparkSession.sparkContext.broadcast(Model(alphabet, tables))
-        summed = each_text(docs, id_col, text_col, "signs long, log_p double", lambda t: model.value.log_sum(t), carry)
-    else:
-        summed = joined_sums(docs, codes, tables, id_col, text_col, carry)
-    return summed.select(id_col, *carry, "signs", F.when(F.col("signs") > 0, F.exp(-F.col("log_p") / F.col("signs"))).alias("perplexity"))
+    def __init__(self, p: DataFrame) -> None:
+        t = p.toArrow()
+        codes, log_p = t.column("gram").to_numpy().astype(np.int64).view(np.uint64), t.column("log_p").to_numpy().astype(np.int64)
+        order = np.argsort(codes)
+        self.codes, self.log_p = codes[order], log_p[order]
 
+    def log_sum(self, text: str) -> tuple[int, int]:
+        """(signs, sum of their log-probabilities)."""
+        n, total = 0, 0
+        for c in grams_of(text):
+            n += c.size
+            total += int(self.log_p[np.searchsorted(self.codes, c)].sum())
+        return n, total
 
-def joined_sums(docs: DataFrame, alphabet: np.ndarray, tables: list[tuple[DataFrame, DataFrame]], id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
-    """(id, carried columns, signs, log_p) with the model left in its tables: the documents' distinct n-grams look their probabilities up by join.
 
-    Each row's n-grams are counted first, so a document sends each once; the n-grams of all documents are then looked up once each.
-    """
-    key = F.monotonically_increasing_id()
+def joined_sums(docs: DataFrame, p: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """(id, carried columns, signs, log_p) with the probabilities left in their table: each row's distinct n-grams are joined to it."""
 
     def own(text: str) -> tuple[list, list]:
-        code, n = np.unique(np.concatenate([np.empty(0, np.int64), *grams_of(text, alphabet)]), return_counts=True)
-        return code.tolist(), n.tolist()
+        code, n = merged_codes(text)
+        return code.view(np.int64).tolist(), n.tolist()
 
-    rows = settle(each_text(docs, id_col, text_col, "grams array<long>, ns array<long>", own, carry).withColumn("_row", key))
+    rows = settle(each_text(docs, id_col, text_col, "grams array<long>, ns array<long>", own, carry).withColumn("_row", F.monotonically_increasing_id()))
     each = rows.select("_row", F.explode(F.arrays_zip("grams", "ns")).alias("g")).select("_row", F.col("g.grams").alias("gram"), F.col("g.ns").alias("n"))
-    p = each.select("gram").distinct().withColumn("p", F.lit(1.0 / SIGNS))
-    for k, (alpha, gamma) in enumerate(tables):
-        own_gram, own_context = F.col("gram").bitwiseAND((1 << BITS * (k + 1)) - 1), F.shiftright(F.col("gram").bitwiseAND((1 << BITS * (k + 1)) - 1), BITS)
-        p = p.withColumn("_g", own_gram).withColumn("_c", own_context)
-        p = p.join(gamma.withColumnRenamed("context", "_c"), "_c", "left").join(alpha.withColumnRenamed("gram", "_g"), "_g", "left")
-        p = p.select("gram", (F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("p")).alias("p"))
-    sums = each.join(p, "gram").groupBy("_row").agg(F.sum("n").alias("signs"), F.sum(F.col("n") * F.log("p")).alias("log_p"))
-    return rows.select("_row", id_col, *carry).join(sums, "_row", "left").select(id_col, *carry, F.coalesce("signs", F.lit(0)).alias("signs"), F.coalesce("log_p", F.lit(0.0)).alias("log_p"))
+    sums = each.join(p, "gram").groupBy("_row").agg(F.sum("n").alias("signs"), F.sum(F.col("n") * F.col("log_p")).alias("log_p"))
+    zero = F.lit(0).cast("long")
+    return rows.select("_row", id_col, *carry).join(sums, "_row", "left").select(id_col, *carry, F.coalesce("signs", zero).alias("signs"), F.coalesce("log_p", zero).alias("log_p"))
 
 
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality",
-    quantile: float = 0.99, slack: float = 1.1, spread: float = 3.0,
+    quantile: float = 0.99, slack: float = 1.05, spread: float = 3.0, folds: int = 5,
 ) -> DataFrame:
     """One row per input row: (id, lang, signs, perplexity, threshold, keep).
 
-    Trusted are the texts whose id a label calls 1. A text is kept if its perplexity is at most `slack` times the `quantile` of the trusted
-    texts' perplexities in its language, times exp(spread / sqrt(signs)), since short texts vary more; a null language is one of its own, and languages with under 20 trusted texts take the quantile of all.
-    Null and empty texts have a null perplexity and are not kept; without trusted text all others are. Repeated rows are kept.
+    Trusted are the texts whose id a label calls 1. One of `folds` parts of them, by a hash of the id, is left out of the training; it gives the cut-off.
+    A text is kept if its perplexity is at most `slack` times the `quantile` of the left-out texts' perplexities in its language, times
+    exp(spread / sqrt(signs)), since short texts vary more; a null language is one of its own, and languages with under 20 such texts take the
+    quantile of all.
+
+    Null and empty texts have a null perplexity and are not kept; without left-out trusted text all others are. Texts of any length are read whole, block
+    by block. A text at its cut-off is kept. Repeated rows are kept, repeated labels count once, labels without a row are ignored. An empty table gives
+    no rows. Other columns are ignored, whatever their names.
     """
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("_good")).distinct()
+    plain = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_of"))
     # Labels grow with the documents, so their join is the same merge at every size.
-    trusted = docs.select(id_col, text_col).join(good.hint("merge"), F.col(id_col) == F.col("_good"), "left_semi").select(text_col)
-    rows = settle(perplexities(docs.select(id_col, text_col, F.col(lang_col).alias("lang")), trusted, id_col, text_col, ("lang",)))
-    known = rows.join(good, F.col(id_col) == F.col("_good"), "left_semi").where("perplexity IS NOT NULL")
+    fold = F.when(F.col("_good").isNotNull(), F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(folds)) == 0)
+    both = plain.join(good.hint("merge"), F.col("_id") == F.col("_good"), "left").select("_id", "_text", "_of", fold.alias("_out"))
+    rows = settle(perplexities(both, F.coalesce(~F.col("_out"), F.lit(False)), "_id", "_text", ("_of", "_out")))
+    known = rows.where("_out AND perplexity IS NOT NULL")
     cut = F.percentile_approx("perplexity", quantile, 10_000) * slack
     overall = known.agg(cut.alias("cut")).first()["cut"]
-    per = written(known.groupBy("lang").agg(cut.alias("_cut"), F.count(F.lit(1)).alias("_n")).where("_n >= 20").select(F.col("lang").alias("_lang"), "_cut"), "thresholds")
-    threshold = F.coalesce("_cut", F.lit(overall if overall is not None else math.inf).cast("double"))
-    joined = rows.join(per, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("threshold", threshold * F.exp(spread / F.sqrt(F.greatest("signs", F.lit(1)))))
-    return joined.select(id_col, "lang", "signs", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("keep"))
+    per = written(known.groupBy("_of").agg(cut.alias("_cut"), F.count(F.lit(1)).alias("_n")).where("_n >= 20").select(F.col("_of").alias("_lang"), "_cut"), "thresholds")
+    threshold = F.coalesce("_cut", F.lit(overall if overall is not None else float("inf")).cast("double"))
+    joined = rows.join(per, F.col("_of").eqNullSafe(F.col("_lang")), "left").withColumn("threshold", threshold * F.exp(spread / F.sqrt(F.greatest("signs", F.lit(1)))))
+    keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))
+    return joined.select(F.col("_id").alias(id_col), F.col("_of").alias("lang"), "signs", "perplexity", "threshold", keep.alias("keep"))

@@ -69,14 +69,12 @@ def letter_stream(text: str) -> np.ndarray:
     return np.concatenate([[0], a[keep], [0]]).astype(np.uint64)
 
 
-def grams(text: str) -> np.ndarray:
-    """Codes of all letter n-grams of one to three characters, repeats included. A code holds its characters in 21 bits each; 0 is a word's edge."""
-    found = [np.empty(0, np.uint64)]
+def grams(text: str) -> Iterator[np.ndarray]:
+    """Codes of all letter n-grams of one to three characters, repeats included, block by block. A code holds its characters in 21 bits each; 0 is a word's edge."""
     for block in blocks(text):
         a = letter_stream(block)
         pair = (a[:-1] << np.uint64(21)) | a[1:]
-        found += [a[a != 0], pair[pair != 0], ((a[:-2] << np.uint64(42)) | pair[1:])[a[1:-1] != 0]]
-    return np.concatenate(found)
+        yield np.concatenate([a[a != 0], pair[pair != 0], ((a[:-2] << np.uint64(42)) | pair[1:])[a[1:-1] != 0]])
 
 
 def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,43 +83,44 @@ def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return codes, np.bincount(at, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
 
 
-def gram_counts(docs: DataFrame, key_col: str, text_col: str, codes_of: Callable[[str], np.ndarray]) -> DataFrame:
-    """(key, gram, n): how often each code of `codes_of` occurs in all texts of a key. Counts are merged in each task before they are shuffled."""
+def gram_counts(docs: DataFrame, key_col: str, text_col: str, codes_of: Callable[[str], Iterator[np.ndarray]]) -> DataFrame:
+    """(key, gram, n): how often each code occurs in all texts of a key; `codes_of` gives a text's codes block by block.
+
+    Counts are merged in each task before they are shuffled. A task holds a bounded number of codes, whatever the length of a text.
+    """
     ship(docs.sparkSession)
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, list] = {}
-        held: dict[str, list] = {}
+        kept: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[str | None, list[np.ndarray]] = {}
+        waiting: dict[str | None, int] = {}
 
-        def merge(key: str) -> None:
-            if held.get(key):
-                kept[key] = [counted([*kept.get(key, []), *((c, np.ones(c.size)) for c in [np.concatenate(held[key])])])]
-                held[key] = []
+        def merge(key: str | None) -> None:
+            new = [np.unique(np.concatenate(held.pop(key)), return_counts=True)]
+            waiting.pop(key)
+            kept[key] = counted([kept[key], *new]) if key in kept else new[0]
 
         def out() -> Iterator[pa.RecordBatch]:
-            for key, parts in kept.items():
-                for codes, n in parts:
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], schema=arrow)
+            for key in list(held):
+                merge(key)
+            for key, (codes, n) in kept.items():
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n.astype(np.int64))], schema=arrow)
             kept.clear()
 
-        waiting: dict[str, int] = {}
         for b in batches:
             for key, text in zip(b.column(0), b.column(1)):
-                k, codes = key.as_py(), codes_of(text.as_py() or "")
-                held.setdefault(k, []).append(codes)
-                waiting[k] = waiting.get(k, 0) + codes.size
-                if waiting[k] > 1 << 20:
-                    merge(k)
-                    waiting[k] = 0
-            if sum(len(p[0]) for parts in kept.values() for p in parts) + sum(waiting.values()) > 8 << 20:  # memory stays bounded
-                for k in list(held):
-                    merge(k)
-                waiting.clear()
+                k = key.as_py()
+                for codes in codes_of(text.as_py() or ""):
+                    held.setdefault(k, []).append(codes)
+                    waiting[k] = waiting.get(k, 0) + codes.size
+                    if waiting[k] > 1 << 20:
+                        merge(k)
+                        if sum(c.size for c, _ in kept.values()) > 4 << 20:
+                            yield from out()
+            if sum(c.size for c, _ in kept.values()) + sum(waiting.values()) > 8 << 20:  # many keys: memory stays bounded
                 yield from out()
-        for k in list(held):
-            merge(k)
         yield from out()
 
     rows = docs.select(F.col(key_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)

@@ -38,13 +38,11 @@ APART = re.compile(rf"{_LETTER}|[0134578@$!]")
 COST = {"sign": -2.0, "drawn": -1.5, "same": 0.0, "edge": -1.0}
 
 
-def trigram_codes(text: str) -> np.ndarray:
-    """Letter trigrams of words, their edges included as 0, coded in 21 bits per letter."""
-    found = [np.empty(0, np.uint64)]
+def trigram_codes(text: str) -> Iterator[np.ndarray]:
+    """Letter trigrams of words, their edges included as 0, coded in 21 bits per letter, block by block."""
     for b in blocks(text):
         a = letter_stream(b)
-        found.append(((a[:-2] << np.uint64(42)) | (a[1:-1] << np.uint64(21)) | a[2:])[a[1:-1] != 0])
-    return np.concatenate(found)
+        yield ((a[:-2] << np.uint64(42)) | (a[1:-1] << np.uint64(21)) | a[2:])[a[1:-1] != 0]
 
 
 def learn_letters(docs: DataFrame, text_col: str = "text", least: int = 2) -> dict[str, dict]:

@@ -3,12 +3,14 @@ import hashlib
 import json
 import random
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from brightloom.llm import fingerprint, langid, license_scan, quality, secrets, toxicity
+from brightloom.llm import fingerprint, langid, license_scan, quality, secrets, texts, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, toxic int, quality int, key string, gram long, _good long, _key string, _text string, m int"
 
@@ -93,7 +95,7 @@ def test_viterbi_finds_the_best_word():
 
 def test_no_disguise_is_too_long_or_too_odd():
     text = " the moron is an idiot and a loser was stupid " * 50
-    codes, n = np.unique(toxicity.trigram_codes(text), return_counts=True)
+    codes, n = np.unique(np.concatenate(list(toxicity.trigram_codes(text))), return_counts=True)
     grams = {tuple(chr(int(c) >> s & 0x1FFFFF) if int(c) >> s & 0x1FFFFF else "" for s in (42, 21, 0)): int(k) for c, k in zip(codes, n)}
     pairs = lambda at: dict(sum((Counter({g[at : at + 2]: k}) for g, k in grams.items()), Counter()))
     model = toxicity.Letters({"tri": grams, "bi": pairs(1), "after": pairs(0)})
@@ -212,14 +214,11 @@ def test_secrets_confirm_structure(spark):
     assert secrets.secret_digests(docs(spark, [])).count() == 0
 
 
-def plain_kneser_ney(texts, alphabet, order):
-    """Log-probabilities by the textbook, with dictionaries."""
-    seqs = []
-    for t in texts:
-        s = [0] * (order - 1) + [int(x) for x in quality.signs(t, np.array(alphabet, np.uint32))]
-        seqs.append(s)
+def plain_kneser_ney(texts, order):
+    """Probabilities by the textbook, with dictionaries."""
     tables = {order: {}}
-    for s in seqs:
+    for t in texts:
+        s = [0] * (order - 1) + [int(x) for x in quality.signs(t)]
         for i in range(len(s) - order + 1):
             g = tuple(s[i : i + order])
             tables[order][g] = tables[order].get(g, 0) + 1
@@ -235,7 +234,7 @@ def plain_kneser_ney(texts, alphabet, order):
 
     def p(g):
         if not g:
-            return 1 / 64
+            return 1 / 65536
         t, cut = tables[len(g)], cuts[len(g)]
         same = {h: n for h, n in t.items() if h[:-1] == g[:-1]}
         if not same:
@@ -249,20 +248,77 @@ def plain_kneser_ney(texts, alphabet, order):
 
 
 def test_kneser_ney_by_shipping_and_by_join(spark):
-    rows = [(i, prose(i, "etaoinsh", 12) + " ÄB 12", "en", None, int(i % 3 > 0)) for i in range(40)] + [(*r, None, 1) for r in ODD if r[0] != 904]
+    rows = [(i, prose(i, "etaoinsh", 12) + " ÄB 12 𝔘漢", "en", None, int(i % 3 > 0)) for i in range(40)] + [(*r, None, 1) for r in ODD if r[0] != 904]
     table = docs(spark, rows)
-    trusted = table.where("quality = 1")
-    shipped, joined = (
-        Counter((r.doc_id, r.signs, round(r.perplexity or 0, 3)) for r in quality.perplexities(table, trusted, ship_rows=n).collect()) for n in (4_000_000, 0)
-    )
-    assert shipped == joined and shipped.total() == len(rows) and shipped[905, 1, next(x for d, _, x in shipped if d == 905)] == 2  # repeated rows stay
-    texts = [t or "" for _, t, _, _, q in rows if q == 1]
-    alphabet = quality.learn_alphabet(table)
-    p = plain_kneser_ney(texts, alphabet, quality.ORDER)
+    trusted = F.coalesce(F.col("quality") == 1, F.lit(False))
+    shipped, joined = (Counter((r.doc_id, r.signs, r.perplexity) for r in quality.perplexities(table, trusted, ship_rows=n).collect()) for n in (4_000_000, 0))
+    assert shipped == joined and shipped.total() == len(rows) and shipped[905, 1, next(x for d, _, x in shipped if d == 905)] == 2  # to the bit; repeated rows stay
+    p = plain_kneser_ney([t or "" for _, t, _, _, q in rows if q == 1], quality.ORDER)
     for i in (0, 1):
-        s = [0] * 3 + [int(x) for x in quality.signs(rows[i][1], np.array(alphabet, np.uint32))]
+        s = [0] * 3 + [int(x) for x in quality.signs(rows[i][1])]
         logs = [np.log(p(tuple(s[k : k + 4]))) for k in range(len(s) - 3)]
-        assert next(x for d, _, x in shipped if d == i) == pytest.approx(float(np.exp(-np.mean(logs))), rel=1e-3)
+        assert next(x for d, _, x in shipped if d == i) == pytest.approx(float(np.exp(-np.mean(logs))), rel=1e-5)
+
+
+def test_no_script_is_one_sign(spark):
+    """Texts of unlike characters that the trusted texts lack are unlikely, whichever script the trusted texts are in."""
+    rnd = random.Random(9)
+    plain = [(i, prose(i, "etaoinshrdlu"), "en", None, 1) for i in range(80)] + [(200, "漢字仮名交文 " * 30, "zh", None, 1)]
+    odd = [(300, "".join(map(chr, rnd.sample(range(0x1F300, 0x1F640), 300))), "en", None, None), (301, "".join(map(chr, rnd.sample(range(0x4E00, 0x9FFF), 300))), "en", None, None)]
+    got = {r.doc_id: r for r in quality.classify(docs(spark, plain + odd), docs(spark, plain)).collect()}
+    assert not got[300].keep and not got[301].keep and got[300].perplexity > 1000 and sum(got[i].keep for i in range(80)) >= 78
+
+
+def test_a_text_of_many_blocks(spark, monkeypatch):
+    """Counts and scores of a text do not depend on where its blocks are cut, and words of a million letters take seconds."""
+    long = " ".join(prose(i, "etaoinshäöü", 60) for i in range(5500))
+    assert len(long) > 1 << 20
+    table = docs(spark, [(1, long, "en", 1, 1), (2, "a" * 1_000_000, "de", 0, 1), (3, "the cat", "en", 0, 1)])
+    began = time.time()
+    at_once = [sorted((r.doc_id, r.lang_pred, r.score) for r in langid.language_of(table).collect()), quality.merged_codes(long), license_scan.notices(table).count()]
+    assert sorted(secrets.scan(long)[0]) == [] and secrets.scan("a" * 1_000_000)[0] == [("hex", 0, 1_000_000)]
+    quality.classify(table, table).collect()
+    assert time.time() - began < 60
+    monkeypatch.setattr(texts, "AT_ONCE", 1 << 14)
+    cut = quality.merged_codes(long)
+    assert (at_once[1][0] == cut[0]).all() and (at_once[1][1] == cut[1]).all()
+    count = lambda t: Counter(int(c) for g in texts.grams(t) for c in g)
+    small = count(long)
+    monkeypatch.setattr(texts, "AT_ONCE", 1 << 22)
+    assert small == count(long)
+
+
+def test_out_of_place_by_the_book(spark):
+    """Predictions and scores equal those of dictionaries of ranks."""
+    rows = [(i, prose(i, ["etaoinsh", "äöüßgkzwe", "xyzqjkvw"][i % 3], 5 + i % 40), ["en", "de", "xx"][i % 3]) for i in range(90)] + [r for r in ODD if r[0] != 904]
+
+    def own(t):
+        s = "".join(c.lower()[0] if c.isalpha() else " " for c in t or "")
+        n = Counter()
+        for w in s.split():
+            n.update(w)
+            w = f" {w} "
+            n.update(w[i : i + 2] for i in range(len(w) - 1))
+            n.update(w[i : i + 3] for i in range(len(w) - 2) if w[i + 1] != " ")
+        code = lambda g: sum(0 if c == " " else ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+        merged = Counter()
+        for g, k in n.items():
+            merged[code(g)] += k
+        return merged
+
+    size, profiles = 50, {}
+    for lang in ("en", "de", "xx"):
+        n = sum((own(t) for i, t, x in rows if x == lang and zlib.crc32(str(i).encode()) % 4 != 2), Counter())
+        profiles[lang] = sorted(n, key=lambda g: (-n[g], g))[:size]
+    for r in langid.language_of(docs(spark, rows), size=size).collect():
+        n = own(next(t for i, t, _ in rows if i == r.doc_id))
+        mine = sorted(n, key=lambda g: (-n[g], g))[:size]
+        far = {x: sum(abs(k - p.index(g)) if g in p else size for k, g in enumerate(mine)) for x, p in profiles.items()}
+        if not mine:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            best = min(sorted(far), key=far.get)
+            assert r.lang_pred == best and r.score == pytest.approx(1 - far[best] / (size * len(mine)))
 
 
 def test_quality_thresholds_by_language(spark):

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Notices by license, as authors put them into texts.
+#: Notices by license, as authors put them into texts, and the texts and headers that licenses ask to be copied.
 NOTICES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -22,6 +22,13 @@ NOTICES = {
     "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software.",
+    "BSD-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
 }
 
 
@@ -71,14 +78,15 @@ def scan(
     """(id, template_id, containment, first_word, windows): a row for each document and template of which a window holds enough.
 
     A template of m words is sought in windows of m + m // 4 words (one more than m at least), m // 4 apart, so that every place it can stand
-    lies in one window. Each length has as many MinHash bands of one row as make a match with the given containment collide with at least
+    lies in one window; a text shorter than that is one window. Each length has as many MinHash bands of one row as make a match with the given containment collide with at least
     `chance`. Windows that collide with a template are checked: the share of the template's distinct `width`-word shingles in the window is
     returned, the largest over the windows that reach `containment`, with the number of such windows and the word (from 0) where the first
     starts.
 
     A window can only collide if it holds the first shingle of some template in some order; documents without any such shingle, and before that
     those without any word of a set that has one of each such shingle, are left out before windows are made. Neither loses a match. Templates are few: more than `max_templates`, or one with fewer than `width` words, is an error.
-    Null and empty texts match nothing. Rows that repeat an id are one document. An empty table gives no rows. Only DataFrame functions are used.
+    Null and empty texts match nothing. Rows that repeat an id are one document, also those with a null id. Of windows with the same share the first counts.
+    Texts of any length are searched whole. An empty table gives no rows. Other columns are ignored, whatever their names. Only DataFrame functions are used.
     """
     spark = docs.sparkSession
     t = templates.select("template_id", words_of(F.col("template")).alias("w")).select("template_id", F.size("w").alias("m"), F.array_distinct(shingles_of(F.col("w"), width)).alias("shingles"), "w")
@@ -111,7 +119,7 @@ def scan(
     rows = rows.select("_id", F.explode(F.array(shingles_of(F.col("_w"), width))).alias("_s")).where(F.arrays_overlap("_s", winners))
     def windows(m: int, stride: int) -> Column:
         """The windows for templates of m words that can collide: made and sifted inside the row, so that no copy of the text is made for each."""
-        starts = F.when(F.size("_s") >= m - width + 1, F.sequence(F.lit(0), F.size("_s") + (width - 1 - m), F.lit(stride))).otherwise(F.array().cast("array<int>"))
+        starts = F.when(F.size("_s") >= m - width + 1, F.sequence(F.lit(0), F.size("_s") + (width - 1 - m), F.lit(stride))).otherwise(F.array(F.lit(0)))
         made = F.transform(starts, lambda at: F.struct(F.lit(m).alias("m"), at.alias("at"), F.slice("_s", at + 1, m + stride - width + 1).alias("win")))
         return F.filter(made, lambda w: F.arrays_overlap(w["win"], winners))
 
@@ -126,21 +134,6 @@ def scan(
     )
 
 
-def windows_brute(text: str | None, template: str, width: int = 5, containment: float = 0.8) -> tuple[float, int, int] | None:
-    """The same for one text and template, without hashing: (containment, first_word, windows) or None. For tests and small inputs."""
-    words = lambda s: "".join(c if c.isalnum() else " " for c in (s or "").lower()).split()
-    w, t = words(text), words(template)
-    want = {tuple(t[i : i + width]) for i in range(len(t) - width + 1)}
-    stride = max(1, len(t) // 4)
-    hits = []
-    for at in range(0, len(w) - len(t) + 1, stride):
-        win = w[at : at + len(t) + stride]
-        share = len(want & {tuple(win[i : i + width]) for i in range(len(win) - width + 1)}) / len(want)
-        if share >= containment:
-            hits.append((share, at))
-    return (max(s for s, _ in hits), min(a for _, a in hits), len(hits)) if hits else None
-
-
 def notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: Sequence[str] | None = None) -> DataFrame:
-    """scan() with the notices above, or those of the licenses named."""
+    """scan() with the notices above, or those of the licenses named; nulls, empty texts, ties and repeats as there."""
     return scan(docs, templates_of(docs.sparkSession, {k: v for k, v in NOTICES.items() if known is None or k in known}), id_col, text_col)

@@ -16,16 +16,25 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
+    """This application's part of the folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the cluster names none (local tests) is a folder of our own set.
+    Only a local master (tests) may leave it unset and gets a folder of its own; on a cluster that is an error.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return f"{named.rstrip('/')}/brightloom-{context.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that operators of this application wrote to the shared folder. Call it when their results are written: those read from them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -37,7 +46,7 @@ def settle(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, what: str) -> DataFrame:
     """Like settle(), as a Parquet table: its size is known to the planner, which broadcasts it only below its own threshold."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

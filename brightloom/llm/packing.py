@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_bits, hash_range, running_sum, settle, word_count
+from .common import fold_bits, hash_range, running_sum, settle, word_count, written
 
 
 def best_buckets(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
@@ -57,18 +57,22 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     Lengths are words, or `length_col`. A document longer than `longest` is cut into pieces of `longest` and a rest; nothing is dropped. The
     histogram of piece lengths (at most longest + 1 rows, so it may be collected) gives the bucket ends with least padding. Inside a bucket,
     pieces shuffled by hash fill batches of floor(budget / bucket_len) slots, one at least. Null or empty texts and null or negative lengths
-    give one piece of length 0. Repeated rows are pieces of their own. An empty table gives no rows.
+    give one piece of length 0. Repeated rows, also those with a null id, are pieces of their own, shuffled each by itself. Texts of any length are
+    counted whole. Equal lengths are one row of the histogram. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     n = F.greatest(F.coalesce(F.col(length_col).cast("long"), F.lit(0)), F.lit(0)) if length_col else word_count(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("_id"), n.cast("long").alias("n"))
-    rows = rows.select("_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"greatest(n - 1, 0) DIV {longest}"))).alias("piece"))
-    rows = settle(rows.select("_id", "piece", (F.col("piece") * longest).alias("start"), F.least(F.expr(f"n - piece * {longest}"), F.lit(longest)).alias("n_tokens")))
+    rows = docs.select(F.col(id_col).alias("_id"), n.cast("long").alias("n"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("_id", "n", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"greatest(n - 1, 0) DIV {longest}"))).alias("piece"))
+    rows = settle(rows.select("_id", "row", "piece", (F.col("piece") * longest).alias("start"), F.least(F.expr(f"n - piece * {longest}"), F.lit(longest)).alias("n_tokens")))
     seen = [(r["n_tokens"], r["n"]) for r in rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()]
     ends = best_buckets([x for x, _ in seen], [c for _, c in seen], buckets) or [0]
     bucket = sum(((F.col("n_tokens") > e).cast("int") for e in ends), F.lit(0))
     rows = rows.withColumn("bucket", bucket).withColumn("bucket_len", F.element_at(F.array(*[F.lit(e).cast("long") for e in ends]), F.col("bucket") + 1))
-    rows = rows.withColumn("key", F.xxhash64(F.lit(seed), "_id", "piece")).withColumn("part", hash_range(F.col("key"), fold_bits(sum(c for _, c in seen)))).withColumn("one", F.lit(1).cast("long"))
-    rows = running_sum(rows, ["bucket"], "part", [F.col("key"), F.col("_id"), F.col("n_tokens")], "one", "at")
+    # Rows that share an id are told apart by their place, so that copies do not lie in one batch.
+    shared = written(rows.where("piece = 0").groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("_id").alias("_shared"), F.lit(True).alias("_again")), "shared")
+    rows = rows.join(shared, F.col("_id").eqNullSafe(F.col("_shared")), "left").withColumn("row", F.when(F.col("_again"), F.col("row"))).drop("_shared", "_again")
+    rows = rows.withColumn("key", F.xxhash64(F.lit(seed), "_id", "piece", "row")).withColumn("part", hash_range(F.col("key"), fold_bits(sum(c for _, c in seen)))).withColumn("one", F.lit(1).cast("long"))
+    rows = running_sum(rows, ["bucket"], "part", [F.col("key"), F.col("_id"), F.col("row"), F.col("n_tokens")], "one", "at")
     room = F.expr(f"greatest({budget} DIV greatest(bucket_len, 1), 1)")
     return rows.withColumn("room", room).select(
         F.col("_id").alias(id_col), "piece", "start", "n_tokens", "bucket", "bucket_len", F.expr("at DIV room").alias("batch"),

@@ -1,4 +1,9 @@
-"""Near copies by shingle similarity: MinHash bands find candidates, the exact share of shingles confirms them, components gather them."""
+"""SimHash near-dedup carried on to a similarity of shingles: what SimHash blocks link is confirmed first, MinHash bands find what they cannot reach.
+
+Texts that share 0.8 of their five-word shingles have SimHashes 3 to 14 bits apart, beyond what pigeonhole blocks of 64 bits can join at scale. So the
+links of simhash.near_links() are a start, which gathers the closest copies cheaply; bands bring the other candidates, and the exact share of shingles
+decides on each.
+"""
 
 from __future__ import annotations
 
@@ -89,11 +94,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, row_col: str, text_col: str, wi
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", width: int = 5, similarity: float = 0.8, chance: float = 0.9999, few: int = 20_000) -> DataFrame:
+def near_copies(
+    docs: DataFrame, row_col: str, text_col: str = "text", width: int = 5, similarity: float = 0.8, chance: float = 0.9999, few: int = 20_000, first: DataFrame | None = None,
+) -> DataFrame:
     """(node, root): for each row with near copies, the smallest row of its component; roots themselves are left out. `row_col` is a long without repeats.
 
     Two rows are linked when they share at least `similarity` of their distinct `width`-word shingles. A pair at the limit meets in a band with
-    `chance`, a closer one more surely; what meets is checked exactly, so no pair below the limit is linked. Null texts count as empty.
+    `chance`, a closer one more surely; what meets is checked exactly, so no pair below the limit is linked. `first`: links (a, b) that are checked before any others, which decides
+    nothing but the order. Null texts count as empty; empty texts, and equal texts of any kind, are near copies of each other. Texts of any length are read
+    whole. A pair at the limit is linked. An empty table gives no rows. Other columns are ignored, whatever their names.
 
     Rows that meet and are not yet in one component are all tested, in rounds. While such pairs are many, each round tests every row
     against the smallest row of its bucket, which then leaves it: a large group of near copies becomes one component with a link each. Later
@@ -104,8 +113,15 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", width: in
     keys = settle(memberships(docs, row_col, text_col, width, bands))
     many = max(few, 2 * keys.count() // bands)
     met = written(keys.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("band"), "met")
-    members = written(keys.join(met, "band").select("band", "row", F.col("row").alias("comp")), "members")
-    links, last, at_once = None, False, 1
+    members = keys.join(met, "band").select("band", "row")
+    links, roots, last, at_once = None, None, False, 1
+    if first is not None:
+        links = written(confirmed(written(first, "pairs"), docs, row_col, text_col, width, similarity), "links")
+        roots = written(components(links), "roots")
+        members = members.join(roots, F.col("row") == F.col("node"), "left").select("band", "row", F.coalesce("root", "row").alias("comp"))
+    else:
+        members = members.withColumn("comp", F.col("row"))
+    members = written(members, "members")
     while not last:
         comps = written(members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("pivot")), "comps")
         of = comps.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.expr("n * n")).alias("same"), F.count(F.lit(1)).alias("comps"))
@@ -131,4 +147,4 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", width: in
             at_once = min(4 * at_once, 512)
             rest = members.join(pivots.select("band", F.col("_other").alias("row")), ["band", "row"], "left_anti").select("band", "row")
             members = written(rest.join(roots, F.col("row") == F.col("node"), "left").select("band", "row", F.coalesce("root", "row").alias("comp")), "members")
-    return roots if links is not None else docs.sparkSession.createDataFrame([], "node long, root long")
+    return roots if roots is not None else docs.sparkSession.createDataFrame([], "node long, root long")

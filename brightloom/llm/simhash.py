@@ -165,12 +165,23 @@ def components(links: DataFrame) -> DataFrame:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, blocks: int = 5, bucket: int = 4096) -> DataFrame:
+    """(a, b): ids of rows with close fingerprints, a > b; links that span the groups of near_duplicates(), never all pairs. Ids do not repeat and are not null."""
+    fps = settle(fingerprints(docs, id_col, text_col, width))
+    distinct = settle(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
+    equal = fps.join(distinct, "fp").where(F.col(id_col) > F.col("least")).select(F.col(id_col).alias("a"), F.col("least").alias("b"))
+    x, y = (distinct.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}")) for c in "ab")
+    close = close_links(distinct, distance, blocks, bucket).join(x, "a").join(y, "b")
+    return equal.unionByName(close.select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, blocks: int = 5, bucket: int = 4096) -> DataFrame:
     """One row per input row: (id, fingerprint as 16 hex digits, component_id).
 
     Fingerprints at most `distance` bits apart are linked; component_id is the smallest id that links reach, the row's own included. Equal
     fingerprints are one node, so copies never become pairs. Null and empty texts have fingerprint 0 and are linked like any other. A null id takes
-    part in links, is never a component_id if the component has another id, and repeated ids are kept as rows. An empty table gives no rows.
+    part in links, is never a component_id if the component has another id, and repeated ids are kept as rows. Texts of any length are read whole, some
+    shingles at a time. A bit that exactly half the shingles have is 0. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     fps = settle(fingerprints(docs, id_col, text_col, width))
     distinct = fps.groupBy("fp").agg(F.min(id_col).alias("least"))

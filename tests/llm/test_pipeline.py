@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as pipeline
-from brightloom.llm import resemblance
+from brightloom.llm import resemblance, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, size long, part int"
 
@@ -115,9 +115,30 @@ def plain_groups(texts, width=5, limit=0.8):
 @pytest.mark.parametrize("few, size", [(20_000, None), (20, 40)])
 def test_near_copies_are_those_of_all_pairs(spark, few, size):
     texts = families(random.Random(11))[:size]
-    found = resemblance.near_copies(spark.createDataFrame(list(enumerate(texts)), "row long, text string"), "row", few=few)
-    got = {r.node: r.root for r in found.collect()}
-    assert [got.get(i, i) for i in range(len(texts))] == plain_groups(texts)
+    table = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    first = simhash.near_links(table, "row", width=5)
+    for links in (None, first):
+        found = resemblance.near_copies(table, "row", few=few, first=links)
+        got = {r.node: r.root for r in found.collect()}
+        assert [got.get(i, i) for i in range(len(texts))] == plain_groups(texts)
+
+
+def test_language_stage_drops_only_what_has_no_letter(spark):
+    rows = [*edges(), (20, None, None), (21, "!!", "b"), (22, "é", "b")]
+    left = pipeline.identify_language(spark, docs(spark, rows), "")
+    assert left.columns[:5] == list(pipeline.COLUMNS)
+    assert Counter((r.doc_id, r.text, r.source) for r in left.collect()) == Counter(r for r in rows if any(c.isalpha() for c in r[1] or ""))
+
+
+def test_packing_stage_is_all_words_once(spark):
+    rows = [*edges(), (30, "w " * 20_000, None)]
+    got = Counter()
+    for r in pipeline.pack_lengths(spark, docs(spark, rows), "").collect():
+        got[r.doc_id] += r.n_tokens
+    want = Counter()
+    for i, t, _ in rows:
+        want[i] += len((t or "").split())
+    assert got == want
 
 
 def test_near_stage_keeps_one_row_a_group(spark):

@@ -65,6 +65,9 @@ def mix(
     document, in the given pass over the source. Sorting by (slot, pass, ...) gives the mix. A document of which nothing is taken has one row
     with null slot. `row` tells apart rows that repeat an id. Null texts have size 0; a null source is a source. An empty table gives no rows.
 
+    Texts of any length are counted whole. Rows with equal hashes lie by id, then size; equal rows are interchangeable. Columns that are not carried are ignored,
+    whatever their names; carried ones may not have a name of the result.
+
     The order depends on ids, sizes and `seed` only, so reruns agree. A source with a third of all rows is cut into hash ranges for the running
     sums, and its blocks join by (source, turn), which spreads evenly.
     """
@@ -95,6 +98,6 @@ def mix(
 
 
 def taken(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per document of the mix: (id, size, source_size, target, taken), taken in words with repeats."""
+    """One row per document of the mix: (id, size, source_size, target, taken), taken in words with repeats; all cases as in mix()."""
     words = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("end") - F.col("start"))), F.lit(0)).cast("long")
     return mixed.groupBy("row", id_col, "size", "source_size", "target").agg(words.alias("taken")).drop("row")

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from brightloom.llm import mixing, packing
 
@@ -98,3 +99,65 @@ def test_pack_keeps_every_word_and_fills_batches(spark):
     assert sorted({r.bucket_len for r in got}) == packing.best_buckets(list(seen), list(seen.values()), 5)
     assert packing.pack(docs(spark, [])).count() == 0
     assert [r.n_tokens for r in packing.pack(docs(spark, [(1, None, None)])).collect()] == [0]
+    twice = [(i, "w " * 30, None) for i in range(100)] * 2
+    at = {}
+    for r in packing.pack(docs(spark, twice), budget=120, longest=200).collect():
+        at.setdefault(r.doc_id, []).append(r.batch)
+    assert sum(len(set(b)) == 2 for b in at.values()) > 80  # copies lie in different batches, but for chance
+
+
+def unsigned(spark, rows, *columns):
+    """Spark's hash of the columns by id, as the operators order rows by it."""
+    return {tuple(r)[:-1]: r.h % (1 << 64) for r in rows.select(*columns, F.xxhash64(F.lit(7), *columns).alias("h")).collect()}
+
+
+def test_batches_by_brute_force(spark):
+    rnd = random.Random(3)
+    rows = [(i, "w " * rnd.choice([0, 3, 17, 90, 250, 601]), None) for i in range(300)]
+    pieces = [(i, k, min(200, n - 200 * k)) for i, t, _ in rows for n in [len(t.split())] for k in range(max(n - 1, 0) // 200 + 1)]
+    keys = unsigned(spark, spark.createDataFrame([p[:2] for p in pieces], "doc_id long, piece long"), "doc_id", "piece")
+    ends = packing.best_buckets(*zip(*((n, sum(p[2] == n for p in pieces)) for n in {p[2] for p in pieces})), 5)
+    want = set()
+    for b, end in enumerate(ends):
+        own = sorted((p for p in pieces if p[2] <= end and (b == 0 or p[2] > ends[b - 1])), key=lambda p: keys[p[:2]])
+        room = max(400 // max(end, 1), 1)
+        want |= {(*p, b, at // room, at % room) for at, p in enumerate(own)}
+    got = {(r.doc_id, r.piece, r.n_tokens, r.bucket, r.batch, r.slot) for r in packing.pack(docs(spark, rows), buckets=5, budget=400, longest=200).collect()}
+    assert got == want
+
+
+def test_pieces_of_the_mix_by_brute_force(spark):
+    rnd = random.Random(8)
+    rows = [(i, "w " * rnd.choice([0, 1, 5, 40, 300]), rnd.choice(["a", "b", "ä", None])) for i in range(150)]
+    block, sizes = 64, {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    target = plain_targets(sizes)
+    take = {s: min(int(target[s] + 0.5), 2 * sizes[s]) for s in sizes}
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    total = sum(take.values())
+    slots = {s: [] for s in names}
+    for t in range(-(-total // block)):
+        u, hi = (0.5 + t * mixing.GOLDEN) % 1.0, 0
+        for s in names:
+            hi += take[s]
+            if u < hi / total:
+                slots[s].append(t)
+                break
+    keys = unsigned(spark, docs(spark, rows), "doc_id")
+    want = set()
+    for s in names:
+        base, extra = divmod(take[s], len(slots[s]))
+        edges = [k * base + min(k, extra) for k in range(len(slots[s]) + 1)]
+        at = 0
+        line = sorted((r for r in rows if r[2] == s), key=lambda r: keys[r[:1]])
+        for p in (0, 1):
+            for i, t, _ in line:
+                n = len(t.split())
+                for k, slot in enumerate(slots[s]):
+                    lo, hi = max(at, edges[k]), min(at + n, edges[k + 1])
+                    if lo < hi:
+                        want.add((i, slot, p, lo - at, hi - at))
+                at += n
+    got = {(r.doc_id, r.slot, r["pass"], r.start, r.end) for r in mixing.mix(docs(spark, rows), block=block).collect() if r.slot is not None}
+    assert got == want

@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -94,57 +94,121 @@ def confirmed(pairs: DataFrame, docs: DataFrame, row_col: str, text_col: str, wi
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def shingle_sets(docs: DataFrame, rows: DataFrame, row_col: str, text_col: str, width: int) -> DataFrame:
+    """(row, shingles as bytes) of the rows listed in `rows`; only their texts are read whole and none is moved."""
+    texts = docs.select(F.col(row_col).alias("_row"), F.col(text_col).cast("binary").alias("_text")).join(rows.select(F.col("row").alias("_end")), F.col("_row") == F.col("_end"), "left_semi")
+    schema = to_arrow_schema(T.StructType([T.StructField("row", T.LongType()), T.StructField("shingles", T.BinaryType())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py() or b"", width).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], schema=schema)
+
+    return texts.select("_row", "_text").mapInArrow(run, "row long, shingles binary")
+
+
+def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many shingles each two sets share: products of the tables of which set has which shingle, some shingles at a time."""
+    values = np.concatenate(sets)
+    which = np.repeat(np.arange(len(sets)), [s.size for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, which = values[order], which[order]
+    new = np.append(True, values[1:] != values[:-1])
+    number = np.cumsum(new) - 1
+    often = np.bincount(number)[number] > 1  # a shingle of one set is shared with none
+    which, number = which[often], np.cumsum((new & often)[often]) - 1
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(number[-1]) + 1 if number.size else 0, columns):
+        part = slice(*np.searchsorted(number, [at, at + columns]))
+        has = np.zeros((len(sets), columns), np.float32)
+        has[which[part], number[part] - at] = 1
+        both += has @ has.T
+    return both
+
+
+def joining_links(rows: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between rows of different components that span what all similar pairs join; fewer than there are components."""
+    size = np.array([s.size for s in sets])
+    both = shared_counts(sets)
+    near = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
+    _, comp = np.unique(comps, return_inverse=True)
+    found = []
+    for i in range(rows.size):
+        for j in np.flatnonzero(near[i] & (comp != comp[i])):
+            if comp[j] != comp[i]:
+                found.append((int(rows[i]), int(rows[j])))
+                comp[comp == comp[j]] = comp[i]
+    return found
+
+
+def bucket_links(members: DataFrame, sets: DataFrame, similarity: float, chunk: int) -> DataFrame:
+    """(a, b): links between similar rows of a bucket that are in different components. members: (band, row, comp); sets: (row, shingles).
+
+    A bucket of up to `chunk` rows is searched whole. A larger one is cut: a component of its own over that size into chunks, and all other rows into
+    chunks by hash; each two chunks that are not of one such component are searched together, so a task holds two chunks and no pair is missed.
+    """
+    sizes = members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("_n"))
+    large = written(sizes.where(F.col("_n") > chunk).select("band", "comp", F.col("comp").alias("own")), "large")
+    rows = members.join(large, ["band", "comp"], "left")
+    layout = rows.groupBy("band", "own").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+    layout = written(layout.groupBy("band").agg(F.collect_list(F.struct("own", "chunks")).alias("layout")), "layout")  # rows / chunk entries
+    mine = F.filter("layout", lambda g: g["own"].eqNullSafe(F.col("own")))[0]["chunks"]
+    rows = rows.join(layout, "band").withColumn("k", F.pmod(F.xxhash64("row"), mine).cast("int"))
+    each = F.flatten(F.transform("layout", lambda g: F.transform(F.sequence(F.lit(0), g["chunks"] - 1), lambda k: F.struct(g["own"].alias("own"), k.alias("k")))))
+    others = F.filter(each, lambda o: F.col("own").isNull() | ~o["own"].eqNullSafe(F.col("own")))
+    me = F.struct("own", "k")
+    rows = rows.select("band", "row", "comp", me.alias("me"), F.explode(others).alias("other"))
+    rows = rows.select("band", F.least("me", "other").alias("lo"), F.greatest("me", "other").alias("hi"), "row", "comp")
+    key = F.xxhash64("band", "lo.own", "lo.k", "hi.own", "hi.k").alias("key")  # colliding keys only search more together
+    by = rows.select(key, "row", "comp").join(sets, "row").repartition("key").sortWithinPartitions("key").select("key", "row", "comp", "shingles")
+    schema = to_arrow_schema(T.StructType([T.StructField(x, T.LongType()) for x in "ab"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, list] | None = None
+
+        def linked() -> pa.RecordBatch:
+            row, comp, data = zip(*held[1])
+            found = joining_links(np.array(row), np.array(comp), [np.frombuffer(d, np.uint64) for d in data], similarity) if len(set(comp)) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=schema)
+
+        for b in batches:
+            for key, row, comp, data in zip(*(c.to_pylist() for c in b.columns)):
+                if held and held[0] != key:
+                    yield linked()
+                    held = None
+                held = held or (key, [])
+                held[1].append((row, comp, data))
+        if held:
+            yield linked()
+
+    return by.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_copies(
-    docs: DataFrame, row_col: str, text_col: str = "text", width: int = 5, similarity: float = 0.8, chance: float = 0.9999, few: int = 20_000, first: DataFrame | None = None,
+    docs: DataFrame, row_col: str, text_col: str = "text", width: int = 5, similarity: float = 0.8, chance: float = 0.9999, chunk: int = 512, first: DataFrame | None = None,
 ) -> DataFrame:
     """(node, root): for each row with near copies, the smallest row of its component; roots themselves are left out. `row_col` is a long without repeats.
 
     Two rows are linked when they share at least `similarity` of their distinct `width`-word shingles. A pair at the limit meets in a band with
-    `chance`, a closer one more surely; what meets is checked exactly, so no pair below the limit is linked. `first`: links (a, b) that are checked before any others, which decides
-    nothing but the order. Null texts count as empty; empty texts, and equal texts of any kind, are near copies of each other. Texts of any length are read
-    whole. A pair at the limit is linked. An empty table gives no rows. Other columns are ignored, whatever their names.
-
-    Rows that meet and are not yet in one component are all tested, in rounds. While such pairs are many, each round tests every row
-    against the smallest row of its bucket, which then leaves it: a large group of near copies becomes one component with a link each. Later
-    rounds take the smallest rows of 4, 16 and up to 512 components at once, so that buckets of unlike texts take few rounds. When at
-    most `few` pairs or two a document are left, all of them are tested.
+    `chance`, a closer one more surely; what meets is checked exactly, so no pair below the limit is linked. `first`: links (a, b) that are checked before
+    any others, which decides nothing but the order. Null texts count as empty; empty texts, and equal texts of any kind, are near copies of each other.
+    Texts of any length are read whole. A pair at the limit is linked. An empty table gives no rows. Other columns are ignored, whatever their names.
+
+    Rows that meet and are not yet in one component are all tested. First each row of a bucket against the bucket's smallest row: a large group of near
+    copies becomes few components with a link each. Then the buckets that still have several components are searched in chunks of `chunk` rows, which
+    gives links between components only, never all pairs.
     """
     bands = bands_for(similarity, chance)
     keys = settle(memberships(docs, row_col, text_col, width, bands))
-    many = max(few, 2 * keys.count() // bands)
-    met = written(keys.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("band"), "met")
-    members = keys.join(met, "band").select("band", "row")
-    links, roots, last, at_once = None, None, False, 1
-    if first is not None:
-        links = written(confirmed(written(first, "pairs"), docs, row_col, text_col, width, similarity), "links")
-        roots = written(components(links), "roots")
-        members = members.join(roots, F.col("row") == F.col("node"), "left").select("band", "row", F.coalesce("root", "row").alias("comp"))
-    else:
-        members = members.withColumn("comp", F.col("row"))
-    members = written(members, "members")
-    while not last:
-        comps = written(members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("pivot")), "comps")
-        of = comps.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.expr("n * n")).alias("same"), F.count(F.lit(1)).alias("comps"))
-        of = written(of.where("comps > 1").select("band", F.expr("(n * n - same) DIV 2").alias("pairs")), "open")
-        left = of.agg(F.sum("pairs").alias("pairs")).first()["pairs"]
-        if not left:
-            break
-        members = members.join(of.select("band"), "band")
-        last = left <= many
-        if last:
-            other = members.select("band", F.col("row").alias("_other"), F.col("comp").alias("_comp"))
-            pairs = members.join(other, "band").where("row > _other AND comp <> _comp")
-        else:
-            rank = F.row_number().over(Window.partitionBy("band").orderBy("pivot"))
-            pivots = comps.join(of.select("band"), "band").select("band", "comp", "pivot", rank.alias("_rank")).where(F.col("_rank") <= at_once)
-            pivots = written(pivots.select("band", F.col("pivot").alias("_other"), F.col("comp").alias("_comp")), "pivots")
-            pairs = members.join(pivots, "band").where("comp <> _comp")
-        pairs = pairs.select(F.greatest("row", "_other").alias("a"), F.least("row", "_other").alias("b"))
-        found = written(confirmed(written(pairs.distinct(), "pairs"), docs, row_col, text_col, width, similarity), "links")
-        links = found if links is None else links.unionByName(found)
-        roots = written(components(links), "roots")
-        if not last:
-            at_once = min(4 * at_once, 512)
-            rest = members.join(pivots.select("band", F.col("_other").alias("row")), ["band", "row"], "left_anti").select("band", "row")
-            members = written(rest.join(roots, F.col("row") == F.col("node"), "left").select("band", "row", F.coalesce("root", "row").alias("comp")), "members")
-    return roots if roots is not None else docs.sparkSession.createDataFrame([], "node long, root long")
+    met = written(keys.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.min("row").alias("pivot")).where("_n > 1").select("band", "pivot"), "met")
+    members = written(keys.join(met, "band").select("band", "row", "pivot"), "members")
+    star = members.where("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b"))
+    star = star if first is None else star.unionByName(first.select("a", "b"))
+    links = written(confirmed(written(star.distinct(), "pairs"), docs, row_col, text_col, width, similarity), "links")
+    roots = written(components(links), "roots")
+    left = members.join(roots, F.col("row") == F.col("node"), "left").select("band", "row", F.coalesce("root", "row").alias("comp"))
+    open_ = written(left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band"), "open")
+    left = written(left.join(open_, "band"), "left")
+    sets = written(shingle_sets(docs, written(left.select("row").distinct(), "ends"), row_col, text_col, width), "sets")
+    more = written(bucket_links(left, sets, similarity, chunk), "more")
+    return components(links.unionByName(more))

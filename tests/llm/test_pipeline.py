@@ -112,13 +112,13 @@ def plain_groups(texts, width=5, limit=0.8):
     return [find(x) for x in range(len(texts))]
 
 
-@pytest.mark.parametrize("few, size", [(20_000, None), (20, 40)])
-def test_near_copies_are_those_of_all_pairs(spark, few, size):
+@pytest.mark.parametrize("chunk, size", [(512, None), (8, None), (2, 40)])
+def test_near_copies_are_those_of_all_pairs(spark, chunk, size):
     texts = families(random.Random(11))[:size]
     table = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
     first = simhash.near_links(table, "row", width=5)
     for links in (None, first):
-        found = resemblance.near_copies(table, "row", few=few, first=links)
+        found = resemblance.near_copies(table, "row", chunk=chunk, first=links)
         got = {r.node: r.root for r in found.collect()}
         assert [got.get(i, i) for i in range(len(texts))] == plain_groups(texts)
 

@@ -108,15 +108,54 @@ def search_many(docs: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFram
     return hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top_k)
 
 
-def evaluation(results: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
-    """One row: recall@k, mean reciprocal rank and precision over queries with something relevant; each query counts once."""
-    first = relevant.select("item_id").distinct().join(results.join(relevant, ["item_id", "doc_id"]).groupBy("item_id").agg(F.min("rank").alias("first")), "item_id", "left")
-    returned = results.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    m = first.join(returned, "item_id", "left").agg(
-        F.count(F.lit(1)).alias("queries"), F.count_if(F.col("first") <= k).alias("hits"), F.sum(1 / F.col("first")).alias("rr"), F.sum("n").alias("returned")
-    )
+def containing(docs: DataFrame, items: DataFrame, width: int = 3) -> DataFrame:
+    """(item_id, doc_id): the documents of the whole table whose text holds an item's text, sign by sign.
+
+    The words inside a passage (its first and last may be cut off) stand in every text that holds it, so its middle `width` of them find the
+    candidates by an equality join on their hash, and the texts of candidates are compared. Passages of fewer than width + 2 words are not looked for.
+    """
+    cut = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    anchor = lambda w, at: F.xxhash64(F.slice(w, at, width))
+    asked = items.select("item_id", F.col("text").alias("passage"), cut(F.col("text")).alias("w")).where(F.size("w") >= width + 2)
+    asked = asked.select("item_id", "passage", anchor(F.col("w"), F.expr(f"size(w) DIV 2 - {width} DIV 2 + 1")).alias("anchor"))
+    there = docs.select("doc_id", cut(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") >= width)
+    each = there.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: anchor(F.col("w"), i)))).alias("anchor"))
+    met = each.join(asked, "anchor").select("item_id", "passage", F.col("doc_id").alias("_d")).distinct()
+    return docs.select("doc_id", "text").join(met, F.col("doc_id") == F.col("_d")).where(F.contains("text", F.col("passage"))).select("item_id", "doc_id").distinct()
+
+
+def evaluation(results: DataFrame, relevant: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
+    """One row over all queries asked: recall@k and @1, mean reciprocal rank, precision, and critical queries of which nothing relevant came back.
+
+    asked: (item_id, critical). relevant: (item_id, doc_id) from the whole table; a query of which nothing relevant is found, or exists, is a miss.
+    """
+    first = results.join(relevant, ["item_id", "doc_id"]).groupBy("item_id").agg(F.min("rank").alias("first"))
+    n = results.agg(F.count(F.lit(1)).alias("returned"))
+    hit = F.coalesce(F.col("first") <= k, F.lit(False))
+    m = asked.join(first, "item_id", "left").agg(
+        F.count(F.lit(1)).alias("queries"), F.count_if(hit).alias("hits"), F.count_if(F.col("first") == 1).alias("at_1"), F.sum(1 / F.col("first")).alias("rr"),
+        F.count_if(F.col("critical") & ~hit).alias("critical_misses"),
+    ).crossJoin(F.broadcast(n))  # one row each
     share = lambda a, b: F.round(F.coalesce(F.col(a), F.lit(0)) / F.nullif(F.col(b), F.lit(0)), 4)
-    return m.select("queries", share("hits", "queries").alias("recall"), share("rr", "queries").alias("mrr"), share("hits", "returned").alias("precision"))
+    shares = {"recall": ("hits", "queries"), "recall_at_1": ("at_1", "queries"), "mrr": ("rr", "queries"), "precision": ("hits", "returned")}
+    return m.select("queries", *[share(*of).alias(name) for name, of in shares.items()], "critical_misses")
+
+
+def adaptive_budget(items: DataFrame, group: str, order: str, text: str, required: str, budget: Column, overhead: int = 64, floor: int = 2048, ceiling: int = 6144) -> DataFrame:
+    """(group, order, tokens, budget, kept, error): required items always stay; optional ones are dropped from the tail until the rest fits.
+
+    `budget` is a group's own, held to floor..ceiling. A group whose required items alone are over it keeps nothing and says so. Totals of required
+    items and running sums of optional ones are windows over a group's items.
+    """
+    must = F.coalesce(F.col(required), F.lit(False))
+    own = Window.partitionBy(group)
+    n = items.select(group, order, must.alias("_must"), token_estimate(F.col(text)).alias("tokens"), F.least(F.greatest(budget, F.lit(floor)), F.lit(ceiling)).cast("long").alias("budget"))
+    n = n.withColumn("_base", F.sum(F.when(F.col("_must"), F.col("tokens")).otherwise(0)).over(own) + overhead)
+    upto = own.orderBy("_must", order).rowsBetween(Window.unboundedPreceding, 0)
+    n = n.withColumn("_used", F.sum(F.when(F.col("_must"), 0).otherwise(F.col("tokens"))).over(upto))
+    over = F.col("_base") > F.col("budget")
+    kept = ~over & (F.col("_must") | (F.col("_base") + F.col("_used") <= F.col("budget")))
+    return n.select(group, order, "tokens", "budget", kept.alias("kept"), F.when(over, "required_context_exceeds_token_budget").alias("error"))
 
 
 def within_budget(items: DataFrame, group: str, order: str, text: str, budget: int, overhead: int = 64) -> DataFrame:

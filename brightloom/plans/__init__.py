@@ -1,4 +1,4 @@
-from . import charts, code, files, queries, records
+from . import charts, code, files, queries, records, references, text
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "charts", "code", "files", "queries", "records"]
+__all__ = ["ORACLE_SQL", "QUERIES", "charts", "code", "files", "queries", "records", "references", "text"]

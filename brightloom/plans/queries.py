@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import corpus, events, memory, retrieval
+from ..operators import corpus, events, memory, patches, retrieval
 from ..streaming import events as stream
 from .registry import query, table
 
@@ -259,9 +259,8 @@ def fleet_page(spark, sf_dir):
     return page.crossJoin(F.broadcast(c.agg(F.count(F.lit(1)).alias("total"))))  # one row
 
 
-@query("""WITH r AS (SELECT c_nationkey, substring(md5(c_name || '|' || c_mktsegment), 1, 2) AS p, md5(c_name || '|' || c_mktsegment) AS h FROM customer),
-    d AS (SELECT c_nationkey, p, count(*) AS n, md5(string_agg(h, '' ORDER BY h)) AS d FROM r GROUP BY 1, 2)
-    SELECT c_nationkey, CAST(sum(n) AS BIGINT) AS n_rows, md5(string_agg(d, '' ORDER BY p)) AS digest FROM d GROUP BY c_nationkey""")
+@query("""WITH r AS (SELECT c_nationkey, md5(c_name || '|' || c_mktsegment) AS h FROM customer)
+    SELECT c_nationkey, count(*) AS n_rows, md5(CAST(sum(('0x' || left(h, 15))::BIGINT::HUGEINT) AS VARCHAR) || '|' || CAST(sum(('0x' || substring(h, 17, 15))::BIGINT::HUGEINT) AS VARCHAR)) AS digest FROM r GROUP BY c_nationkey""")
 def table_digests(spark, sf_dir):
     return corpus.group_digests(table(spark, sf_dir, "customer").select("c_nationkey", F.concat_ws("|", "c_name", "c_mktsegment").alias("row")), "c_nationkey", "row")
 
@@ -366,7 +365,8 @@ _SEM = "SELECT vec_id, label, round(1 - list_cosine_similarity(embedding::DOUBLE
 
 def first_vector(spark, sf_dir) -> list[float]:
     """The query vector of the examples: that of the smallest id, one row."""
-    return table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(1).collect()[0]["embedding"]
+    found = table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(1).collect()
+    return found[0]["embedding"] if found else [0.0]
 
 
 @query(f"{_LEX} ORDER BY score DESC, lang NULLS LAST, doc_id LIMIT 20")
@@ -427,14 +427,21 @@ def search_many(spark, sf_dir):
     return retrieval.search_many(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query(f"""WITH {_MANY}, v AS (SELECT q.*, contains(d.text, b.text) AS ok FROM q JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)),
-    f AS (SELECT item_id, min(rank) AS first FROM v WHERE ok GROUP BY 1), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1)
-    SELECT count(*) AS queries, round(count(*) FILTER (WHERE first <= 5) / nullif(count(*), 0), 4) AS recall, round(sum(1 / first) / nullif(count(*), 0), 4) AS mrr, round(count(*) FILTER (WHERE first <= 5) / nullif(sum(n), 0), 4) AS precision FROM f JOIN n USING (item_id)""")
+_EVAL = f"""{_MANY}, rel AS (SELECT DISTINCT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+    f AS (SELECT b.item_id, min(rank) AS first, b.item_id % 2 = 0 AS critical FROM benchmark b LEFT JOIN (SELECT * FROM q JOIN rel USING (item_id, doc_id)) USING (item_id) GROUP BY b.item_id)"""
+
+
+@query(f"""WITH {_EVAL} SELECT count(*) AS queries, round(count(first) / nullif(count(*), 0), 4) AS recall, round(count(*) FILTER (WHERE first = 1) / nullif(count(*), 0), 4) AS recall_at_1,
+    round(coalesce(sum(1 / first), 0) / nullif(count(*), 0), 4) AS mrr, round(count(first) / nullif((SELECT count(*) FROM q), 0), 4) AS precision, count(*) FILTER (WHERE critical AND first IS NULL) AS critical_misses FROM f""")
 def retrieval_eval(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    found = retrieval.search_many(docs, items)
-    texts = found.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("passage")), "item_id")
-    return retrieval.evaluation(found, texts.where(F.contains("text", F.col("passage"))).select("item_id", "doc_id"))
+    asked = items.select("item_id", (F.col("item_id") % 2 == 0).alias("critical"))
+    return retrieval.evaluation(retrieval.search_many(docs, items), retrieval.containing(docs, items), asked)
+
+
+@query(f"WITH {_EVAL} SELECT item_id, doc_id FROM rel")
+def passages_in_documents(spark, sf_dir):
+    return retrieval.containing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 # Context and memory
@@ -446,6 +453,16 @@ def budget_trim(spark, sf_dir):
     return retrieval.within_budget(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 600)
 
 
+_BUDGET = """b AS (SELECT conv_id, turn, role = 'system' OR turn = 0 AS must, CAST(ceil(strlen(text) / 4) AS BIGINT) AS tokens, least(greatest(200 + 100 * (conv_id % 5), 300), 500) AS budget FROM conversations),
+    t AS (SELECT *, sum(CASE WHEN must THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) + 64 AS base, sum(CASE WHEN must THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY must, turn ROWS UNBOUNDED PRECEDING) AS used FROM b)"""
+
+
+@query(f"WITH {_BUDGET} SELECT conv_id, turn, tokens, budget, base <= budget AND (must OR base + used <= budget) AS kept, CASE WHEN base > budget THEN 'required_context_exceeds_token_budget' END AS error FROM t")
+def adaptive_budget(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("must", (F.col("role") == "system") | (F.col("turn") == 0))
+    return retrieval.adaptive_budget(c, "conv_id", "turn", "text", "must", 200 + 100 * (F.col("conv_id") % 5), floor=300, ceiling=500)
+
+
 @query("""WITH b AS (SELECT conv_id, turn, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x FROM conversations)
     SELECT conv_id, turn, left(text, CAST(800 - x AS BIGINT)) AS excerpt FROM b WHERE x < 800""")
 def result_char_cap(spark, sf_dir):
@@ -487,13 +504,25 @@ def json_diff_top_level(spark, sf_dir):
     return e.select("event_id", F.explode(memory.map_diff(as_map(F.col("old")), as_map(F.col("props")))).alias("d")).select("event_id", "d.*")
 
 
-@query("""WITH x AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS old FROM conversations)
-    SELECT conv_id, turn, CASE WHEN old IS NULL THEN 'FULL_NO_BASE' WHEN strlen(old) > 24000 THEN 'FULL_TOO_LARGE' WHEN strlen(old) >= strlen(text) THEN 'FULL_NOT_SMALLER' ELSE 'DELTA' END AS delivery FROM x""")
-def delta_or_full(spark, sf_dir):
+_STATES = """x AS (SELECT event_id, '{"event":"' || event_type || '","k":' || json_extract_string(props, '$.k') || ',"note":"a note that stays the same from one state to the next, so a patch is smaller"}' AS new,
+    event_type, json_extract_string(props, '$.k') AS k, lag(event_type) OVER w AS e0, lag(json_extract_string(props, '$.k')) OVER w AS k0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"""
+
+
+def run_states(spark, sf_dir) -> DataFrame:
+    """Each event's state of its run as JSON, and the state before."""
     from pyspark.sql import Window
 
-    x = table(spark, sf_dir, "conversations").withColumn("old", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
-    return x.select("conv_id", "turn", memory.delivery(F.col("old"), F.col("text"), F.col("old")).alias("delivery"))
+    note = F.lit(',"note":"a note that stays the same from one state to the next, so a patch is smaller"}')
+    e = table(spark, sf_dir, "events").withColumn("new", F.concat(F.lit('{"event":"'), "event_type", F.lit('","k":'), F.get_json_object("props", "$.k"), note))
+    return e.select("event_id", "new", F.lag("new").over(Window.partitionBy("user_id").orderBy("event_id")).alias("old"))
+
+
+@query(f"""WITH {_STATES}, p AS (SELECT *, '{{"operations":[' || array_to_string([o for o in [CASE WHEN event_type <> e0 THEN '{{"op":"replace","path":"/event","value":"' || event_type || '"}}' END,
+    CASE WHEN k <> k0 THEN '{{"op":"replace","path":"/k","value":' || k || '}}' END] if o IS NOT NULL], ',') || '],"version":"v1"}}' AS patch FROM x)
+    SELECT event_id, CASE WHEN e0 IS NULL THEN 'FULL_NO_BASE' WHEN strlen(patch) >= strlen(new) THEN 'FULL_NOT_SMALLER' ELSE 'DELTA' END AS delivery, CASE WHEN e0 IS NOT NULL THEN strlen(patch) END AS patch_bytes FROM p""")
+def delta_or_full(spark, sf_dir):
+    x = patches.with_delivery(run_states(spark, sf_dir), "old", "new")
+    return x.select("event_id", "delivery", F.octet_length("patch").cast("long").alias("patch_bytes"))
 
 
 @query("""WITH x AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'system') AS p, string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role <> 'system') AS s FROM conversations GROUP BY 1)
@@ -507,10 +536,3 @@ def prompt_segments(spark, sf_dir):
 @query("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY quality, toxic")
 def acceptance_matrix(spark, sf_dir):
     return table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"WITH {_T}, r AS (SELECT DISTINCT run_id, project_id FROM t) SELECT count(*) AS leaks FROM t JOIN r USING (run_id) WHERE t.project_id <> r.project_id")
-def isolation_probe(spark, sf_dir):
-    t = telemetry(spark, sf_dir)
-    other = t.select("run_id", F.col("project_id").alias("other")).distinct()
-    return t.join(other, "run_id").where("project_id <> other").agg(F.count(F.lit(1)).alias("leaks"))

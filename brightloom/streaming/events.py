@@ -14,25 +14,32 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def fold(spark: SparkSession, path: str, parse: Callable[[DataFrame], DataFrame], group: Callable[[DataFrame], DataFrame], id_col: str) -> DataFrame:
+def fold(spark: SparkSession, path: str, parse: Callable[[DataFrame], DataFrame], group: Callable[[DataFrame], DataFrame], id_col: str, into: str | None = None) -> DataFrame:
     """`group` over the events of all files of `path`, each id once; runs until all files are read and returns the table.
 
-    State, offsets and result lie in the shared folder, so a lost executor or a restart goes on from the last batch. Keys never expire here;
-    a caller that may forget late copies sets a watermark in `parse`.
+    State, offsets and result lie in the folder `into` of the shared storage (a new one if none is named). A further call with the same `into` goes on
+    from the last batch, after a lost driver or when files came since; without new files it returns the result that is there. Each batch replaces
+    the result before it. Keys never expire here; a caller that may forget late copies sets a watermark in `parse`.
     """
-    into = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    into = into or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(path)
-    unique = group(parse(stream).dropDuplicates([id_col]))
+    unique = group(parse(spark.readStream.schema(schema).parquet(path)).dropDuplicates([id_col]))
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{into}/result-{number}")
-        numbers.append(number)
+        batch.write.mode("overwrite").parquet(f"{into}/result/batch={number}")
 
-    numbers: list[int] = []
     run = unique.writeStream.outputMode("complete").option("checkpointLocation", f"{into}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{into}/result-{numbers[-1]}")
+    if run.lastProgress is None and not _there(spark, f"{into}/result"):
+        return spark.createDataFrame([], unique.schema)  # no event at all
+    every = spark.read.schema(unique.schema.add("batch", "long")).parquet(f"{into}/result")
+    last = every.agg(F.max("batch").alias("n")).first()["n"]
+    return every.where(F.col("batch") == (last if last is not None else -1)).drop("batch")
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def valid_cursor(cursor: Column) -> Column:

@@ -123,15 +123,17 @@ def merged_codes(text: str) -> tuple[np.ndarray, np.ndarray]:
     return codes, n
 
 
-def perplexities(docs: DataFrame, trusted: Column, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), ship_rows: int = 4_000_000) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: Column, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), ship_rows: int = 4_000_000, scored: DataFrame | None = None) -> DataFrame:
     """(id, carried columns, signs, perplexity) for every row; the model is trained on the rows where `trusted` is true.
 
+    `scored`: the same texts without what `trusted` needs, so that a join that finds the trusted rows is run for the counts only.
     Null and empty texts have no sign and a null perplexity. Without a trusted text all signs are equally likely.
     """
     key = F.when(trusted, "t").otherwise("o")
     every = settle(gram_counts(docs.select(key.alias("_key"), text_col), "_key", text_col, grams_of))
     tables = kneser_ney(every.where("key = 't'").select("gram", "n"))
     p = settle(probabilities(every.select("gram").distinct(), tables))
+    docs = docs if scored is None else scored
     if p.count() <= ship_rows:
         model = docs.sparkSession.sparkContext.broadcast(Table(p))
         summed = each_text(docs, id_col, text_col, "signs long, log_p long", lambda t: model.value.log_sum(t), carry)
@@ -191,10 +193,10 @@ def classify(
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("_good")).distinct()
     plain = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_of"))
     # Labels grow with the documents, so their join is the same merge at every size.
-    fold = F.when(F.col("_good").isNotNull(), F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(folds)) == 0)
-    both = plain.join(good.hint("merge"), F.col("_id") == F.col("_good"), "left").select("_id", "_text", "_of", fold.alias("_out"))
-    rows = settle(perplexities(both, F.coalesce(~F.col("_out"), F.lit(False)), "_id", "_text", ("_of", "_out")))
-    known = rows.where("_out AND perplexity IS NOT NULL")
+    left_out = F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(folds)) == 0
+    both = plain.join(good.hint("merge"), F.col("_id") == F.col("_good"), "left").select("_id", "_text", "_good")
+    rows = settle(perplexities(both, F.col("_good").isNotNull() & ~left_out, "_id", "_text", ("_of",), scored=plain))
+    known = rows.where(left_out & F.col("perplexity").isNotNull()).join(good.hint("merge"), F.col("_id") == F.col("_good"), "left_semi")
     cut = F.percentile_approx("perplexity", quantile, 10_000) * slack
     overall = known.agg(cut.alias("cut")).first()["cut"]
     per = written(known.groupBy("_of").agg(cut.alias("_cut"), F.count(F.lit(1)).alias("_n")).where("_n >= 20").select(F.col("_of").alias("_lang"), "_cut"), "thresholds")

@@ -43,10 +43,14 @@ def newline_normalise(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
+#: Fixed value: the pieces of an identifier: an acronym before a capitalised piece, a digit or the end; a piece with or without a capital; digits.
+PIECES = r"[A-Z]+(?=[A-Z][a-z]|\d|$)|[A-Z]?[a-z]+|\d+"
+
+
 def identifier_tokens(text: Column) -> Column:
     """Lower-case pieces of identifiers: runs of letters and digits, cut at humps, acronyms and digits; a run without an ASCII piece stays whole."""
     runs = F.regexp_extract_all(text, F.lit(r"(?U)[^\W_]+"), F.lit(0))
-    pieces = lambda w: F.regexp_extract_all(w, F.lit(r"[A-Z]+(?=[A-Z][a-z]|\d|$)|[A-Z]?[a-z]+|\d+"), F.lit(0))
+    pieces = lambda w: F.regexp_extract_all(w, F.lit(PIECES), F.lit(0))
     found = F.flatten(F.transform(runs, lambda w: F.when(F.size(pieces(w)) > 0, pieces(w)).otherwise(F.array(w))))
     return F.transform(found, lambda w: F.replace(F.lower(w), F.lit("ß"), F.lit("ss")))
 
@@ -127,10 +131,14 @@ def variant_string(payload: Column, key: str) -> Column:
     return F.when(kind == "STRING", F.try_variant_get(payload, f"$.{key}", "string"))
 
 
+#: Other names of EXACT in payloads.
+EXACT_NAMES = ("PROVIDER_FINAL", "RECONCILED", "FINAL")
+
+
 def named_provenance(name: Column) -> Column:
     """A provenance as payloads write it; null for an unknown name."""
     name = F.upper(name)
-    return F.when(name.isin("PROVIDER_FINAL", "RECONCILED", "FINAL"), "EXACT").when(name.isin(*PROVENANCE), name)
+    return F.when(name.isin(*EXACT_NAMES), "EXACT").when(name.isin(*PROVENANCE), name)
 
 
 def payload_provenance(payload: Column) -> Column:

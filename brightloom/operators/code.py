@@ -129,9 +129,13 @@ def resolve(mentions: DataFrame, found: DataFrame) -> DataFrame:
     return m.groupBy("path", "mention").agg(best.alias("qualified_name"))
 
 
+#: Fixed value: what counts as a path in a text: directories, a name and a suffix, not in the middle of a word.
+PATH = r"(?<![A-Za-z0-9_])(?:[\w.-]+/)+[\w.-]+\.[A-Za-z0-9]+"
+
+
 def mentioned_paths(text: Column) -> Column:
     """Distinct relative paths with a suffix that a text names, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])(?:[\w.-]+/)+[\w.-]+\.[A-Za-z0-9]+"), F.lit(0))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(PATH), F.lit(0))))
 
 
 def linked_tests(modules: DataFrame, tests: DataFrame, most: int = 8) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
+#: Fixed value: what counts as a heading: one to six number signs, blanks, a title.
 HEADING = re.compile(r"^(#{1,6})[ \t]+(.+?)[ \t]*$", re.MULTILINE)
 #: A bullet, its box if it has one, and its text.
 BULLET = r"^\s*-\s+(?:\[([ xX])\]\s+)?(\S.*)$"

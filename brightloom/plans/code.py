@@ -131,6 +131,7 @@ def linked_tests(spark, sf_dir):
     return code.linked_tests(sources(spark, sf_dir), tests)
 
 
-@query()
+@query("""WITH p AS (SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, '(^|[^A-Za-z0-9_])((?:[\\w.-]+/)+[\\w.-]+\\.[A-Za-z0-9]+)', 2))) AS x FROM pages)
+    SELECT page_id, coalesce(array_to_string(x, ' '), '') AS paths FROM p""")
 def path_mentions(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(code.mentioned_paths(F.col("html")), " ").alias("paths"))

@@ -17,10 +17,10 @@ def normalised_phrases(spark, sf_dir):
 
 
 @query(f"""SELECT doc_id, array_to_string(regexp_extract_all(lower({_LINE}), '[a-z0-9]+'), ' ') AS heading,
-    list_slice([x for x in [left(trim(l), 512) for l in string_split(text, chr(10))] if x <> ''], 1, 20) AS items FROM documents""")
+    coalesce(array_to_string(list_slice([x for x in [left(trim(l), 512) for l in string_split(text, chr(10))] if x <> ''], 1, 20), '|'), '') AS items FROM documents""")
 def heading_items(spark, sf_dir):
     first = F.regexp_extract("text", r"^[^\n]*", 0)
-    return table(spark, sf_dir, "documents").select("doc_id", X.heading_key(first).alias("heading"), X.section_items(F.col("text")).alias("items"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.heading_key(first).alias("heading"), F.array_join(X.section_items(F.col("text")), "|").alias("items"))
 
 
 _NAME = "left(regexp_replace(regexp_replace(url, '^.*[/\\\\]', ''), '[^A-Za-z0-9._-]+', '_', 'g'), 120)"
@@ -65,10 +65,10 @@ _DOTTED = "[regexp_replace(w, '[.:]+$', '') for w in regexp_extract_all(text, '[
 
 
 @query(f"""WITH n AS (SELECT doc_id, [w for w in {_DOTTED} if regexp_full_match(w, '[A-Za-z_][A-Za-z0-9_]*(\\.[A-Za-z_][A-Za-z0-9_]*)+')] AS w FROM (SELECT doc_id, text || ' See core.loader.read and a.b@c.org, io.py.' AS text FROM documents))
-    SELECT doc_id, list_sort(list_distinct([x for x in w if lower(regexp_extract(x, '([A-Za-z0-9_]+)$', 1)) NOT IN {X.NO_SYMBOLS}])) AS symbols FROM n""")
+    SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct([x for x in w if lower(regexp_extract(x, '([A-Za-z0-9_]+)$', 1)) NOT IN {X.NO_SYMBOLS}])), ' '), '') AS symbols FROM n""")
 def symbol_mentions(spark, sf_dir):
     text = F.concat("text", F.lit(" See core.loader.read and a.b@c.org, io.py."))
-    return table(spark, sf_dir, "documents").select("doc_id", X.symbol_mentions(text).alias("symbols"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.symbol_mentions(text), " ").alias("symbols"))
 
 
 @query("SELECT event_id, left(coalesce(nullif(trim(json_extract_string(props, '$.message')), ''), nullif(trim(json_extract_string(props, '$.k')), ''), event_type), 200) AS summary, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS at, 1 + event_id - 1 AS line, 100 + event_id AS char FROM events")
@@ -82,14 +82,14 @@ def event_summaries(spark, sf_dir):
 _MAP = "'{\"value\":{\"event_type\":\"' || event_type || '\",\"user_id\":\"' || user_id || '\"},\"version\":\"v1\"}'"
 
 
-@query(f"SELECT event_id, sha256({_MAP}) AS fingerprint, CAST(ceil(strlen({_MAP}) / 4) AS BIGINT) AS tokens, ['token_count=' || event_id, 'event_type=' || event_type] AS entries FROM events")
+@query(f"SELECT event_id, sha256({_MAP}) AS fingerprint, CAST(ceil(strlen({_MAP}) / 4) AS BIGINT) AS tokens, 'token_count=' || event_id || ' event_type=' || event_type AS entries FROM events")
 def payload_fingerprints(spark, sf_dir):
     steady = F.create_map(F.lit("user_id"), F.col("user_id").cast("string"), F.lit("event_type"), F.col("event_type"))
     with_run = F.map_concat(steady, F.create_map(F.lit("run_id"), F.col("event_id").cast("string")))
     body = F.concat(F.lit('{"value":'), X.canonical_json(steady), F.lit(',"version":"v1"}'))
     counted = F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("user_id"), F.col("user_id").cast("string"), F.lit("token_count"), F.col("event_id").cast("string"))
     return table(spark, sf_dir, "events").select(
-        "event_id", X.versioned_fingerprint("v1", with_run, ("run_id",)).alias("fingerprint"), F.ceil(F.octet_length(body) / 4).cast("long").alias("tokens"), X.bounded_entries(counted, 2).alias("entries")
+        "event_id", X.versioned_fingerprint("v1", with_run, ("run_id",)).alias("fingerprint"), F.ceil(F.octet_length(body) / 4).cast("long").alias("tokens"), F.array_join(X.bounded_entries(counted, 2), " ").alias("entries")
     )
 
 

@@ -9,11 +9,20 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_KINDS = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType()}
+
+
+def fields(spec: str) -> T.StructType:
+    """A schema from `name kind, ...`, a kind with [] being an array. Unlike a DDL string it needs no session, so workers can import it."""
+    kind = lambda k: T.ArrayType(_KINDS[k[:-2]]) if k.endswith("[]") else _KINDS[k]
+    return T.StructType([T.StructField(name, kind(k)) for name, k in (x.split() for x in spec.split(","))])
+
 
 def shared_dir(spark: SparkSession) -> str:
     """This application's part of the folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
@@ -51,6 +60,28 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_at_once(spark: SparkSession, rows: int) -> SparkSession:
+    """A session beside this one, for tables whose rows are large: its Python workers get `rows` of them at a time. Settings of the caller's session stay as they are."""
+    beside = spark.newSession()
+    beside.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return beside
+
+
+def stored(df: DataFrame, what: str) -> str:
+    """Write the rows to the shared folder; the path, from which any session can read them."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def top_per(df: DataFrame, group: str, order: list[Column], k: int, rank: str = "rank", salts: int = 64) -> DataFrame:
+    """The first k rows of each group with their rank. A group is cut down in `salts` parts first, so a very large one is never sorted by one task."""
+    df = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    some = df.withColumn("_n", F.row_number().over(Window.partitionBy(group, "_salt").orderBy(*order))).where(F.col("_n") <= k)
+    every = some.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return every.where(F.col(rank) <= k).drop("_n", "_salt")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -95,12 +95,15 @@ def provenance_name(rank: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, PROVENANCE)), F.coalesce(rank, F.lit(0)).cast("int") + 1)
 
 
-def snippet(text: Column, token: Column, width: int = 640) -> Column:
-    """A window of `width` characters, a third of it before the token's first place, with ... where text is cut off."""
-    at = F.instr(F.lower(text), token)
-    start = F.greatest(F.lit(1), F.when(at > 0, at - width // 3).otherwise(1))
-    cut = F.substring(text, start, F.lit(width))
-    return F.concat(F.when(start > 1, "...").otherwise(""), cut, F.when(start + width - 1 < F.length(text), "...").otherwise(""))
+def snippet(text: Column, tokens: Column, width: int = 640) -> Column:
+    """The text if it fits, else a window of `width` characters, a third of it before the first place of any token, with ... where text is cut off.
+
+    Near the end the window is moved back, so it is always full. Without a token it is the beginning.
+    """
+    at = F.array_min(F.filter(F.transform(tokens, lambda t: F.instr(F.lower(text), t)), lambda p: p > 0))
+    start = F.greatest(F.lit(1), F.least(F.coalesce(at, F.lit(1)) - width // 3, F.length(text) - width + 1))
+    cut = F.concat(F.when(start > 1, "...").otherwise(""), F.substring(text, start, F.lit(width)), F.when(start + width - 1 < F.length(text), "...").otherwise(""))
+    return F.when(F.length(text) <= width, text).otherwise(cut)
 
 
 def cosine_distance(vector: Column, query: Column) -> Column:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 #: Directories and names of test files.
 TEST_PATH = r"(^|/)(tests?|__tests__)(/|$)|(^|/)(test_[^/]+|[^/]+_test|[^/]+\.(test|spec))\."
-#: What a redacted text shows instead of a secret or an absolute path.
-REDACTED, PATH_REDACTED = "[REDACTED]", "[PATH]"
-_SECRET_TEXT = r"(?i)(password|passwd|secret|token|api_?key)[\"']?[ \t]*[:=][ \t]*[\"']?[A-Za-z0-9+/_.=-]+|AKIA[A-Z0-9]{12,}"
-_WINDOWS_PATH = r"\b[A-Za-z]:\\[^\s<>]*"
-_POSIX_PATH = r"(^|[\s(=])/[A-Za-z0-9_.-]+(/[A-Za-z0-9_.-]*)+"
-#: Last parts of dotted names that are files or hosts rather than symbols.
-NO_SYMBOLS = ("com", "org", "net", "io", "py", "md", "js", "ts", "json", "html", "css", "sql", "txt", "yml", "yaml", "toml")
+#: Last parts of dotted names that are files, and parts that end the name of a host.
+FILE_ENDINGS = ("py", "pyi", "md", "rst", "txt", "toml", "yml", "yaml", "json", "ts", "tsx", "js", "jsx", "css", "html", "ini", "cfg")
+DOMAINS = (
+    "ai", "app", "biz", "cloud", "co", "com", "dev", "digital", "edu", "games", "gov", "info", "io", "live", "me", "media", "net", "online", "org", "shop", "site",
+    "social", "software", "store", "studio", "tech", "technology", "website", "world", "xyz",
+)
+EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+DOTTED = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+"
 
 
 def normalised(text: Column) -> Column:
@@ -37,12 +38,6 @@ def safe_filename(name: Column, longest: int = 120) -> Column:
     return F.when(F.length(F.regexp_replace(kept, "[._]", "")) > 0, kept).otherwise("upload")
 
 
-def redacted(text: Column) -> Column:
-    """The text without secrets and absolute paths."""
-    text = F.regexp_replace(text, _SECRET_TEXT, REDACTED)
-    return F.regexp_replace(F.regexp_replace(text, _WINDOWS_PATH, PATH_REDACTED), _POSIX_PATH, f"$1{PATH_REDACTED}")
-
-
 def summary(*candidates: Column, longest: int = 200) -> Column:
     """The first candidate that is neither missing nor blank, cut."""
     return F.left(F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in candidates]), F.lit(longest))
@@ -65,13 +60,6 @@ def is_test_path(path: Column) -> Column:
     return F.coalesce(F.rlike(path, F.lit(TEST_PATH)), F.lit(False))
 
 
-def percent_decoded(text: Column, rounds: int = 4) -> Column:
-    """The text percent-decoded until it no longer changes, at most `rounds` times; what is no valid escape stays."""
-    for _ in range(rounds):
-        text = F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
-    return text
-
-
 def strict_base64(text: Column) -> Column:
     """Decoded bytes of canonical base64, null for anything else."""
     fits = F.rlike(text, F.lit("^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"))
@@ -80,11 +68,12 @@ def strict_base64(text: Column) -> Column:
 
 
 def symbol_mentions(text: Column) -> Column:
-    """Dotted names that a text mentions, sorted, each once: neither hosts nor files (NO_SYMBOLS), no part of an e-mail address or a path."""
-    found = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_@/.:-]+"), F.lit(0))
-    names = F.transform(found, lambda w: F.regexp_replace(w, r"[.:]+$", ""))
-    dotted = F.filter(names, lambda w: F.rlike(w, F.lit(r"^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)+$")))
-    return F.array_sort(F.array_distinct(F.filter(dotted, lambda w: ~F.lower(F.regexp_extract(w, r"([A-Za-z0-9_]+)$", 1)).isin(*NO_SYMBOLS))))
+    """Dotted names that a text mentions, sorted, each once: no files, no parts of e-mail addresses, and no hosts, by whose endings a name may also go on."""
+    found = F.regexp_extract_all(F.regexp_replace(text, EMAIL, " "), F.lit(rf"(?<![\p{{L}}\p{{N}}_]){DOTTED}"), F.lit(0))
+    parts = lambda w: F.split(F.lower(w), r"\.")
+    host = lambda p: F.exists(F.sequence(F.lit(1), F.size(p) - 1), lambda i: p[i].isin(*DOMAINS) & ~F.contains(p[i - 1], F.lit("_")))
+    names = F.filter(found, lambda w: ~F.element_at(parts(w), -1).isin(*FILE_ENDINGS) & ~host(parts(w)))
+    return F.array_sort(F.array_distinct(names))
 
 
 def section_items(section: Column, most: int = 20, longest: int = 512) -> Column:

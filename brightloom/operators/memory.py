@@ -42,11 +42,6 @@ def map_diff(old: Column, new: Column) -> Column:
     return F.concat(op("remove", F.array_except(keys(old), keys(new)), none), op("add", F.array_except(keys(new), keys(old)), lambda k: new[k]), op("replace", both, lambda k: new[k]))
 
 
-def delivery(old: Column, new: Column, patch: Column, most: int = 24_000) -> Column:
-    """DELTA if there is a base, the patch is within bounds and smaller than the whole; FULL otherwise."""
-    return F.when(old.isNull(), "FULL_NO_BASE").when(F.octet_length(patch) > most, "FULL_TOO_LARGE").when(F.octet_length(patch) >= F.octet_length(new), "FULL_NOT_SMALLER").otherwise("DELTA")
-
-
 def successors(records: DataFrame, key: str = "memory_id", replaces: str = "supersedes") -> DataFrame:
     """(key, successor): for each record the newest one that replaces it, ties by id; null without one. records: key, replaces, created_at."""
     newest = records.where(F.col(replaces).isNotNull()).groupBy(F.col(replaces).alias("_k")).agg(F.max_by(key, F.struct("created_at", key)).alias("successor"))

@@ -85,10 +85,29 @@ def hybrid_state(embedded: Column, chunks: Column, stale: Column, failed: Column
     return F.when(failed, HYBRID_STATES["provider_error"]).when(stale, HYBRID_STATES["stale"]).when((chunks == 0) | (embedded < chunks), HYBRID_STATES["unavailable"]).otherwise(HYBRID_STATES["ready"])
 
 
-def reranked_or_not(candidates: DataFrame, scores: DataFrame, top_k: int = 5, enabled: bool = True, strict: bool = False) -> DataFrame:
+def hybrid_many(lexical: DataFrame, semantic: DataFrame, states: DataFrame, k: int = 60, weights: tuple[float, float] = (1.0, 1.0), top_k: int = 20) -> DataFrame:
+    """(query_id, id, rank, score, state): for each query the fused order of its lexical and semantic ranks, or its lexical order where its state is a fallback.
+
+    lexical, semantic: (query_id, id, rank). states: (query_id, state), one of HYBRID_STATES; a query without a state has no vectors. In a fallback the
+    semantic side takes no part, so what only it found is missing. Ties go by id; ranks are counted within a query, whose rows are at most those found.
+    """
+    fall = HYBRID_STATES["unavailable"]
+    l, s = (df.select("query_id", "id", F.col("rank").alias(n)) for df, n in ((lexical, "_l"), (semantic, "_s")))
+    both = l.join(s, ["query_id", "id"], "full_outer").join(states, "query_id", "left").withColumn("state", F.coalesce("state", F.lit(fall)))
+    fused = F.col("state") == HYBRID_STATES["ready"]
+    share = lambda w, c: F.coalesce(w / (k + F.col(c)), F.lit(0.0))
+    both = both.where(fused | F.col("_l").isNotNull())
+    score = F.round(share(weights[0], "_l") + F.when(fused, share(weights[1], "_s")).otherwise(0.0), 9)
+    both = both.select("query_id", "id", score.alias("score"), "state")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return both.select("query_id", "id", rank.cast("long").alias("rank"), "score", "state").where(F.col("rank") <= top_k)
+
+
+def reranked_or_not(candidates: DataFrame, scores: DataFrame, top_k: int = 5, enabled: bool = True, strict: bool = False, configured: bool = True, queries: DataFrame | None = None) -> DataFrame:
     """(query_id, id, rank, state): candidates (query_id, id, hybrid_rank) in the order of their scores (query_id, id, score); ties keep the hybrid order.
 
-    A query whose scores do not name each candidate once with a finite number keeps the hybrid order and says so; with `strict` it gives no rows.
+    A query whose scores do not name each candidate once with a finite number keeps the hybrid order and says so; with `strict` it gives no rows. A query
+    of `queries` (query_id) without a candidate has one row that says so, with neither id nor rank.
     """
     per = Window.partitionBy("query_id")
     once = scores.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("_n"), F.any_value("score").alias("score"))
@@ -96,12 +115,17 @@ def reranked_or_not(candidates: DataFrame, scores: DataFrame, top_k: int = 5, en
     fine = (F.col("_n") == 1) & F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
     every = scores.groupBy("query_id").agg(F.count(F.lit(1)).alias("_given"))
     both = both.join(every, "query_id", "left").withColumn("_fine", F.count_if(fine).over(per)).withColumn("_all", F.count(F.lit(1)).over(per))
-    good = F.lit(enabled) & (F.col("_fine") == F.col("_all")) & (F.col("_given") == F.col("_all"))
-    state = F.when(F.lit(not enabled), RERANK_STATES[0]).when(F.col("_given").isNull(), RERANK_STATES[2]).when(good, "RERANKED").otherwise(RERANK_STATES[3])
+    good = F.lit(enabled and configured) & (F.col("_fine") == F.col("_all")) & (F.col("_given") == F.col("_all"))
+    disabled, unconfigured, provider, invalid, nothing = RERANK_STATES
+    state = F.when(F.lit(not enabled), disabled).when(F.lit(not configured), unconfigured).when(F.col("_given").isNull(), provider).when(good, "RERANKED").otherwise(invalid)
     both = both.select("query_id", "id", "hybrid_rank", F.when(good, F.col("score")).alias("_s"), state.alias("state"))
     both = both.where("state = 'RERANKED'") if strict else both
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("_s"), "hybrid_rank"))
-    return both.select("query_id", "id", rank.cast("long").alias("rank"), "state").where(F.col("rank") <= top_k)
+    found = both.select("query_id", "id", rank.cast("long").alias("rank"), "state").where(F.col("rank") <= top_k)
+    if queries is None or strict:
+        return found
+    none = queries.select("query_id").distinct().join(candidates.select("query_id").distinct(), "query_id", "left_anti")
+    return found.unionByName(none.withColumn("state", F.lit(nothing)), allowMissingColumns=True)
 
 
 def synced(stored: DataFrame, wanted: DataFrame, run_id: int, key: str = "reference_id", content: str = "fingerprint") -> DataFrame:
@@ -145,9 +169,22 @@ def ledger(entries: DataFrame, key: str = "run_id", at: str = "at") -> DataFrame
     return entries.groupBy(key).agg(last.alias("status"), F.min(at).alias("started_at"), ended.alias("finished_at"), F.count(F.lit(1)).alias("n_entries"))
 
 
-def corpus_status(chunks: Column, embedded: Column, stale: Column, running: Column) -> Column:
-    """The state of a corpus: EMPTY, INDEXING while a run is open, STALE, PARTIAL while chunks lack vectors, READY."""
-    return F.when(running, "INDEXING").when(chunks == 0, "EMPTY").when(stale, "STALE").when(embedded < chunks, "PARTIAL").otherwise("READY")
+def corpus_state(latest: Column, completed: Column) -> Column:
+    """The state of a corpus by the status of its latest run, and whether any run has completed."""
+    return F.when(latest == "RUNNING", "SYNCING").when(latest == "COMPLETED", "CURRENT").when(completed, "STALE").otherwise("BLOCKED")
+
+
+def corpus_states(projects: DataFrame, runs: DataFrame, project: str = "project_id") -> DataFrame:
+    """(project, state, last_sync, latest_run): a row per project, also for one without a run, which is BLOCKED.
+
+    runs: project, run_id, status, started_at, completed_at. The latest run is the last to start, by id where times are equal.
+    """
+    done = F.col("status") == "COMPLETED"
+    per = runs.groupBy(F.col(project).alias("_p")).agg(
+        F.max_by(F.struct("run_id", "status"), F.struct("started_at", "run_id")).alias("last"), F.max(F.when(done, F.col("completed_at"))).alias("last_sync"), F.coalesce(F.bool_or(done), F.lit(False)).alias("_done")
+    )
+    both = projects.select(project).join(per, F.col(project) == F.col("_p"), "left")
+    return both.select(project, corpus_state(F.col("last.status"), F.coalesce("_done", F.lit(False))).alias("state"), "last_sync", F.col("last.run_id").alias("latest_run"))
 
 
 def reference_fingerprint(*fields: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -109,18 +110,32 @@ def search_many(docs: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFram
 
 
 def containing(docs: DataFrame, items: DataFrame, width: int = 3) -> DataFrame:
-    """(item_id, doc_id): the documents of the whole table whose text holds an item's text, sign by sign.
+    """(item_id, doc_id): the documents of the whole table whose text holds an item's text, sign by sign. Empty and null passages are held by none.
 
-    The words inside a passage (its first and last may be cut off) stand in every text that holds it, so its middle `width` of them find the
-    candidates by an equality join on their hash, and the texts of candidates are compared. Passages of fewer than width + 2 words are not looked for.
+    The words inside a passage (its first and last may be cut off) stand in every text that holds it, so up to `width` of its middle ones find the
+    candidates by an equality join on their hash; a passage without a word inside is found by its middle three signs, or all it has. The texts of
+    candidates are compared. Documents are cut only into runs of such lengths as some passage asks for.
     """
     cut = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    anchor = lambda w, at: F.xxhash64(F.slice(w, at, width))
-    asked = items.select("item_id", F.col("text").alias("passage"), cut(F.col("text")).alias("w")).where(F.size("w") >= width + 2)
-    asked = asked.select("item_id", "passage", anchor(F.col("w"), F.expr(f"size(w) DIV 2 - {width} DIV 2 + 1")).alias("anchor"))
-    there = docs.select("doc_id", cut(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") >= width)
-    each = there.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: anchor(F.col("w"), i)))).alias("anchor"))
-    met = each.join(asked, "anchor").select("item_id", "passage", F.col("doc_id").alias("_d")).distinct()
+    asked = items.select("item_id", F.col("text").alias("passage"), cut(F.col("text")).alias("w")).where(F.length("text") > 0)
+    inside = F.least(F.greatest(F.size("w") - 2, F.lit(0)), F.lit(width))
+    signs = F.least(F.length("passage"), F.lit(3))
+    asked = asked.withColumn("by", F.when(inside > 0, inside).otherwise(-signs))
+    run = F.slice("w", F.expr("size(w) DIV 2 - by DIV 2 + 1"), F.greatest(F.col("by"), F.lit(1)))
+    middle = F.substring("passage", F.expr("(length(passage) + by) DIV 2 + 1"), -F.col("by"))
+    asked = asked.select("item_id", "passage", "by", F.when(F.col("by") > 0, F.xxhash64("by", run)).otherwise(F.xxhash64("by", F.array(middle))).alias("anchor"))
+    text = F.coalesce("text", F.lit(""))
+
+    def runs_of(by: int) -> DataFrame:
+        n, w = abs(by), cut(text)
+        size = F.size(w) if by > 0 else F.length(text)
+        hashed = lambda i: F.xxhash64(F.lit(by), F.slice(w, i, n) if by > 0 else F.array(F.substring(text, i, F.lit(n))))
+        return docs.where(size >= n).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), size - n + 1), hashed))).alias("anchor"))
+
+    runs = [runs_of(by) for (by,) in asked.select("by").distinct().collect()]  # at most width + 3
+    if not runs:
+        return docs.select("doc_id").limit(0).select(F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), "doc_id")
+    met = reduce(DataFrame.unionByName, runs).join(asked, "anchor").select("item_id", "passage", F.col("doc_id").alias("_d")).distinct()
     return docs.select("doc_id", "text").join(met, F.col("doc_id") == F.col("_d")).where(F.contains("text", F.col("passage"))).select("item_id", "doc_id").distinct()
 
 

@@ -384,9 +384,13 @@ def lexical_multi_term(spark, sf_dir):
     return retrieval.lexical(table(spark, sf_dir, "documents"), "the and of", top_k=None)
 
 
-@query(f"SELECT doc_id, instr(lower(text), 'the') AS at, CASE WHEN greatest(1, CASE WHEN instr(lower(text), 'the') > 0 THEN instr(lower(text), 'the') - 213 ELSE 1 END) > 1 THEN '...' ELSE '' END || substring(text, greatest(1, CASE WHEN instr(lower(text), 'the') > 0 THEN instr(lower(text), 'the') - 213 ELSE 1 END), 640) || CASE WHEN greatest(1, CASE WHEN instr(lower(text), 'the') > 0 THEN instr(lower(text), 'the') - 213 ELSE 1 END) + 639 < length(text) THEN '...' ELSE '' END AS snippet FROM documents")
+@query("""WITH p AS (SELECT doc_id, text, list_min([x for x in [instr(lower(text), 'und'), instr(lower(text), 'the')] if x > 0]) AS p FROM documents),
+    c AS (SELECT *, greatest(0, coalesce(p, 1) - 1 - 213) AS a FROM p), s AS (SELECT *, CASE WHEN a + 640 > length(text) THEN greatest(0, length(text) - 640) ELSE a END AS start FROM c)
+    SELECT doc_id, p AS at, CASE WHEN length(text) <= 640 THEN text ELSE CASE WHEN start > 0 THEN '...' ELSE '' END || substring(text, start + 1, 640) || CASE WHEN start + 640 < length(text) THEN '...' ELSE '' END END AS snippet FROM s""")
 def snippet_window(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.instr(F.lower("text"), "the").cast("long").alias("at"), C.snippet(F.col("text"), F.lit("the")).alias("snippet"))
+    tokens = F.array(F.lit("und"), F.lit("the"))
+    at = F.array_min(F.filter(F.transform(tokens, lambda t: F.instr(F.lower("text"), t)), lambda p: p > 0))
+    return table(spark, sf_dir, "documents").select("doc_id", at.cast("long").alias("at"), C.snippet(F.col("text"), tokens).alias("snippet"))
 
 
 @query(f"{_SEM} ORDER BY distance, vec_id LIMIT 20")

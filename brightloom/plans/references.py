@@ -5,6 +5,7 @@ A document stands for a reference: its source for title and path, its language f
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import sha256_text
@@ -86,14 +87,47 @@ def semantic_eligible_topk(spark, sf_dir):
 _PER = "SELECT source, count(*) AS n, count(vec_id) AS covered FROM documents LEFT JOIN embeddings ON doc_id = vec_id GROUP BY source"
 
 
-@query(f"""SELECT source, n, covered, CASE WHEN source = 'src1' THEN 'LEXICAL_FALLBACK_PROVIDER_ERROR' WHEN source = 'src2' THEN 'LEXICAL_FALLBACK_SEMANTIC_STALE' WHEN covered < n THEN 'LEXICAL_FALLBACK_SEMANTIC_UNAVAILABLE' ELSE 'HYBRID' END AS hybrid,
-    CASE WHEN source = 'src4' THEN 'INDEXING' WHEN source = 'src2' THEN 'STALE' WHEN covered < n THEN 'PARTIAL' ELSE 'READY' END AS corpus FROM ({_PER})""")
+@query(f"""SELECT source, n, covered, CASE WHEN source = 'src1' THEN 'LEXICAL_FALLBACK_PROVIDER_ERROR' WHEN source = 'src2' THEN 'LEXICAL_FALLBACK_SEMANTIC_STALE' WHEN covered < n THEN 'LEXICAL_FALLBACK_SEMANTIC_UNAVAILABLE' ELSE 'HYBRID' END AS hybrid FROM ({_PER})""")
 def hybrid_fallback(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     v = table(spark, sf_dir, "embeddings").select("vec_id")
     n = d.join(v, F.col("doc_id") == F.col("vec_id"), "left").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("vec_id").alias("covered"))
-    stale = F.col("source") == "src2"
-    return n.select("source", "n", "covered", R.hybrid_state(F.col("covered"), F.col("n"), stale, F.col("source") == "src1").alias("hybrid"), R.corpus_status(F.col("n"), F.col("covered"), stale, F.col("source") == "src4").alias("corpus"))
+    return n.select("source", "n", "covered", R.hybrid_state(F.col("covered"), F.col("n"), F.col("source") == "src2", F.col("source") == "src1").alias("hybrid"))
+
+
+@query("""WITH r AS (SELECT user_id AS project_id, event_id AS run_id, CASE event_type WHEN 'view' THEN 'RUNNING' WHEN 'click' THEN 'FAILED' ELSE 'COMPLETED' END AS status, ts FROM events WHERE user_id % 3 > 0)
+    SELECT c_custkey AS project_id, CASE WHEN l = 'RUNNING' THEN 'SYNCING' WHEN l = 'COMPLETED' THEN 'CURRENT' WHEN done THEN 'STALE' ELSE 'BLOCKED' END AS state, last_sync, latest_run
+    FROM customer LEFT JOIN (SELECT project_id, arg_max(status, (ts, run_id)) AS l, arg_max(run_id, (ts, run_id)) AS latest_run, bool_or(status = 'COMPLETED') AS done, max(ts) FILTER (WHERE status = 'COMPLETED') AS last_sync FROM r GROUP BY 1) x ON x.project_id = c_custkey""")
+def corpus_states(spark, sf_dir):
+    status = F.when(F.col("event_type") == "view", "RUNNING").when(F.col("event_type") == "click", "FAILED").otherwise("COMPLETED")
+    e = table(spark, sf_dir, "events").where("user_id % 3 > 0")
+    runs = e.select(F.col("user_id").alias("project_id"), F.col("event_id").alias("run_id"), status.alias("status"), F.col("ts").alias("started_at"), F.col("ts").alias("completed_at"))
+    return R.corpus_states(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id")), runs)
+
+
+_SIDES = """l AS (SELECT conv_id AS query_id, turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS l FROM conversations WHERE turn % 3 < 2),
+    s AS (SELECT conv_id AS query_id, turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY length(text), turn) AS s FROM conversations WHERE turn % 3 > 0),
+    st AS (SELECT DISTINCT conv_id AS query_id, CASE conv_id % 5 WHEN 0 THEN 'LEXICAL_FALLBACK_SEMANTIC_STALE' WHEN 1 THEN 'LEXICAL_FALLBACK_PROVIDER_ERROR' ELSE 'HYBRID' END AS state FROM conversations WHERE conv_id % 5 < 4)"""
+
+
+@query(f"""WITH {_SIDES}, b AS (SELECT *, coalesce(state, 'LEXICAL_FALLBACK_SEMANTIC_UNAVAILABLE') AS st FROM (SELECT * FROM l FULL JOIN s USING (query_id, id)) LEFT JOIN st USING (query_id)),
+    f AS (SELECT query_id, id, st AS state, CAST(round(coalesce(1.0::DOUBLE / (60 + l), 0) + CASE WHEN st = 'HYBRID' THEN coalesce(1.0::DOUBLE / (60 + s), 0) ELSE 0 END, 9) AS DOUBLE) AS score FROM b WHERE st = 'HYBRID' OR l IS NOT NULL)
+    SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, score, state FROM f QUALIFY rank <= 3""")
+def hybrid_with_fallbacks(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    own = lambda *order: F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)).alias("rank")
+    side = lambda where, *order: c.where(where).select(F.col("conv_id").alias("query_id"), F.col("turn").alias("id"), own(*order))
+    i = F.col("query_id") % 5
+    states = c.select(F.col("conv_id").alias("query_id")).distinct().where(i < 4)
+    states = states.select("query_id", F.when(i == 0, R.HYBRID_STATES["stale"]).when(i == 1, R.HYBRID_STATES["provider_error"]).otherwise(R.HYBRID_STATES["ready"]).alias("state"))
+    return R.hybrid_many(side("turn % 3 < 2", F.desc(F.length("text")), "turn"), side("turn % 3 > 0", F.length("text"), "turn"), states, top_k=3)
+
+
+@query("""SELECT conv_id AS query_id, turn AS id, turn + 1 AS rank, 'RERANK_FALLBACK_UNCONFIGURED' AS state FROM conversations WHERE conv_id % 2 = 0 AND turn < 5
+    UNION ALL SELECT DISTINCT conv_id, NULL, NULL, 'RERANK_FALLBACK_NO_CANDIDATES' FROM conversations WHERE conv_id % 2 = 1""")
+def rerank_without_candidates(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("id"), (F.col("turn") + 1).alias("hybrid_rank"), F.length("text").cast("double").alias("score"))
+    return R.reranked_or_not(c.where("query_id % 2 = 0").drop("score"), c.drop("hybrid_rank"), configured=False, queries=c)
 
 
 _RERANK = """c AS (SELECT conv_id AS query_id, turn AS id, turn + 1 AS hybrid_rank, CAST(length(text) AS DOUBLE) AS s FROM conversations),

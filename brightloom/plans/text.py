@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scan
 from ..functions import text as X
+from ..operators.payloads import bounded_answer
 from .registry import query, table
 
 _LINE = "regexp_extract(text, '^[^\\n]*', 0)"
@@ -36,21 +38,44 @@ def page_paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.safe_filename(F.col("url")).alias("filename"), X.is_safe_path(path).alias("safe"), X.canonical_path(path).alias("path"), X.is_test_path(path).alias("test"))
 
 
-_RED = """regexp_replace(regexp_replace(regexp_replace(text, '(?i)(password|passwd|secret|token|api_?key)["'']?[ \\t]*[:=][ \\t]*["'']?[A-Za-z0-9+/_.=-]+|AKIA[A-Z0-9]{12,}', '[REDACTED]', 'g'),
-    '\\b[A-Za-z]:\\\\[^\\s<>]*', '[PATH]', 'g'), '(^|[\\s(=])/[A-Za-z0-9_.-]+(/[A-Za-z0-9_.-]*)+', '\\1[PATH]', 'g')"""
+_GAP, _REST = "[ \\t\"'`]*", "[^\\s<>\"'`,;()\\[\\]{}?&#|]"
+_NAMED = f"(?i)[A-Za-z0-9_.-]*(?:password|passwd|secret|token|api_?key){_GAP}[:=]{_GAP}(?:bearer{_GAP})?{_REST}+|(?:AKIA|ASIA)[A-Z0-9]{{16}}(?![A-Za-z0-9_])".replace("(?![A-Za-z0-9_])", "\\b")
+_RED = f"""regexp_replace(regexp_replace(text, '{_NAMED.replace("'", "''")}', '[REDACTED]', 'g'), '(^|[^A-Za-z0-9_/:])/[^\\s<>"''`,;()\\[\\]{{}}?&#|/]{_REST.replace("'", "''")}*', '\\1[PATH]', 'g')"""
 
 
 @query(f"SELECT doc_id, sha256(r) AS sha256, contains(r, '[REDACTED]') AS hit FROM (SELECT doc_id, {_RED} AS r FROM documents)")
 def redacted_texts(spark, sf_dir):
-    r = X.redacted(F.col("text"))
+    r = scan.redacted(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(r.cast("binary"), 256).alias("sha256"), F.contains(r, F.lit("[REDACTED]")).alias("hit"))
 
 
+#: Texts by event_id % 10, and what is shown of them (? is the id).
+_SHOWN = [
+    ('{"x":"/etc/p?"}', '{"x":"[PATH]"}'), ("see /etc? now", "see [PATH] now"), ("key ghp_a?b", "key [REDACTED]"), ("sk-abc?def", "[REDACTED]"), ("authorization: Bearer abc?", "[REDACTED]"),
+    ('{"api_key": "v?"}', '{"[REDACTED]"}'), ("a/b/? and 7 / ?", "a/b/? and 7 / ?"), ("at D:\\\\data\\\\? or file:///srv/?", "at [PATH] or [PATH]"), ("redis://:pw?@host/0", "[REDACTED]"), ("token_count: ? of token budget", "token_count: ? of token budget"),
+]
+_QUOTED = [[x.replace("'", "''") for x in pair] for pair in _SHOWN]
+
+
+@query("SELECT event_id, replace(CASE event_id % 10 " + " ".join(f"WHEN {i} THEN '{b}'" for i, (_, b) in enumerate(_QUOTED)) + " END, '?', event_id::VARCHAR) AS shown FROM events")
+def redacted_forms(spark, sf_dir):
+    i = F.col("event_id")
+    said = F.element_at(F.array(*[F.lit(a) for a, _ in _SHOWN]), (i % 10 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", scan.redacted(F.replace(said, F.lit("?"), i.cast("string"))).alias("shown"))
+
+
+@query("SELECT event_id, replace(CASE event_id % 10 " + " ".join(f"WHEN {i} THEN '{a}'" for i, (a, b) in enumerate(_QUOTED) if a == b) + " END, '?', event_id::VARCHAR) AS answer FROM events")
+def bounded_answers(spark, sf_dir):
+    i = F.col("event_id")
+    said = F.element_at(F.array(*[F.lit(a) for a, _ in _SHOWN]), (i % 10 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", bounded_answer(F.replace(said, F.lit("?"), i.cast("string"))).alias("answer"))
+
+
 @query("""WITH p AS (SELECT page_id, url_encode(url_encode(url)) AS twice FROM pages) SELECT page_id, twice, url_decode(url_decode(twice)) AS decoded FROM p""")
 def percent_decoding(spark, sf_dir):
     twice = F.url_encode(F.replace(F.url_encode("url"), F.lit("+"), F.lit("%20")))
     p = table(spark, sf_dir, "pages").select("page_id", twice.alias("twice"))
-    return p.withColumn("decoded", X.percent_decoded(F.col("twice")))
+    return p.withColumn("decoded", scan.percent_decoded(F.col("twice")))
 
 
 @query("""WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN base64(encode(url)) WHEN 1 THEN base64(encode(url)) || '!' ELSE left(base64(encode(url)), 5) END AS x, url FROM pages)
@@ -61,13 +86,15 @@ def base64_contents(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.strict_base64(x).cast("string").alias("content"))
 
 
-_DOTTED = "[regexp_replace(w, '[.:]+$', '') for w in regexp_extract_all(text, '[A-Za-z0-9_@/.:-]+')]"
+_PARTS = "string_split(lower(w), '.')"
 
 
-@query(f"""WITH n AS (SELECT doc_id, [w for w in {_DOTTED} if regexp_full_match(w, '[A-Za-z_][A-Za-z0-9_]*(\\.[A-Za-z_][A-Za-z0-9_]*)+')] AS w FROM (SELECT doc_id, text || ' See core.loader.read and a.b@c.org, io.py.' AS text FROM documents))
-    SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct([x for x in w if lower(regexp_extract(x, '([A-Za-z0-9_]+)$', 1)) NOT IN {X.NO_SYMBOLS}])), ' '), '') AS symbols FROM n""")
+@query(f"""WITH t AS (SELECT doc_id, regexp_replace(text || ' See core.loader.read, docs.vendor.tech, my_mod.io.x and a.b@c.org, io.py.', '{X.EMAIL}', ' ', 'g') AS text FROM documents),
+    n AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '(?:^|[^\\p{{L}}\\p{{N}}_])({X.DOTTED})', 1))) AS w FROM t),
+    k AS (SELECT doc_id, w FROM n WHERE {_PARTS}[-1] NOT IN {X.FILE_ENDINGS} AND len([i for i in range(2, len({_PARTS}) + 1) if {_PARTS}[i] IN {X.DOMAINS} AND NOT contains({_PARTS}[i - 1], '_')]) = 0)
+    SELECT doc_id, array_to_string(list_sort(list(w)), ' ') AS symbols FROM k GROUP BY doc_id""")
 def symbol_mentions(spark, sf_dir):
-    text = F.concat("text", F.lit(" See core.loader.read and a.b@c.org, io.py."))
+    text = F.concat("text", F.lit(" See core.loader.read, docs.vendor.tech, my_mod.io.x and a.b@c.org, io.py."))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.symbol_mentions(text), " ").alias("symbols"))
 
 

@@ -36,8 +36,7 @@ def test_diffs(spark):
 
 def test_answers_and_languages(spark):
     df = spark.createDataFrame([("a", '{"x":1}', "Setup.py"), ("a", '{"x":"/etc/passwd"}', "app.TSX"), ("b", "y" * 65537, "Dockerfile.dev"), ("b", None, None), ("c", "", "notes")], "g string, j string, name string")
-    assert [r[0] for r in df.select(P.bounded_answer(df.j)).collect()][0] == '{"x":1}'
-    assert df.where(P.bounded_answer(df.j).isNotNull()).count() >= 2 and df.where("g = 'b'").where(P.bounded_answer(df.j).isNotNull()).count() == 0
+    assert [r[0] for r in df.select(P.bounded_answer(df.j)).collect()] == ['{"x":1}', None, None, None, ""]
     assert {r.g: list(r.languages) for r in P.language_stacks(df, "g").collect()} == {"a": ["python", "typescript"], "b": ["docker"], "c": []}
 
 

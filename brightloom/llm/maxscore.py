@@ -19,7 +19,7 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of UTF-8 that are no part of a term become spaces, A-Z become small.
 _FOLD = bytes(ord(chr(c).lower()) if c > 127 or chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
 #: Terms that are held as separate objects at once, which bounds memory for very long texts.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 17
 #: Documents of a shard that are scored together; the thresholds rise between them.
 RANGE = 1024
 
@@ -109,7 +109,7 @@ class Shard:
         return pa.RecordBatch.from_arrays([one(v, f.type) for v, f in zip(values, schema)], schema=schema)
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_postings: int = 1 << 20) -> str:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_postings: int = 1 << 19) -> str:
     """Write the index to the shared folder, one row per shard of documents (INDEX), and give its path; no text is moved.
 
     A shard is a run of documents of one input partition with about `shard_postings` postings; it has its documents' ids and numbers of terms, and by
@@ -213,7 +213,7 @@ def search(spark: SparkSession, path: str, items: DataFrame, k: int = 20, item_c
     asked = written(asked.join(df, "term").select("_q", "term", (F.col("times") * weight).alias("w")).where("w > 0"), "asked")
     blocks = max(1, -(-asked.count() // block_terms))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("_q"), F.lit(blocks)))
-    shards = few_at_once(spark, 16).read.schema(INDEX).parquet(path)
+    shards = few_at_once(spark, 8).read.schema(INDEX).parquet(path)
     found = all_of([spark.read.schema(FOUND).parquet(stored(_searched(shards, asked.where(F.col("block") == b), n, total, k), "found")) for b in range(blocks)])
     best = top_per(found, "_q", [F.desc("score"), F.asc_nulls_last("doc_id")], k)
     return best.join(rows.select("_q", "_item"), "_q").select(F.col("_item").alias(item_col), F.col("rank").cast("int").alias("rank"), "doc_id", "score")

@@ -19,7 +19,7 @@ TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def terms(text):
-    return TERM.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return TERM.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
 
 
 def ranked(docs, items, k):
@@ -29,10 +29,10 @@ def ranked(docs, items, k):
     df = Counter(t for _, c in counted for t in c)
     out = []
     for item, text in items:
-        scored = []
+        scored, asked = [], terms(text)
         for i, c in counted:
             m = 75 + (25 * c.total() * n) // total
-            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 12 * m)) for t in terms(text) if c[t])
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 12 * m)) for t in asked if c[t])
             if s > 0:
                 scored.append((-s, i is None, i or 0, i))
         out += [(item, r + 1, x[3], -x[0]) for r, x in enumerate(sorted(scored)[:k])]
@@ -51,14 +51,14 @@ def some_docs(n, seed=1):
 
 
 EDGES = [
-    (None, "w1 w2"), (None, None), (900, ""), (901, " .,!"), (902, "W1-w2_w3"), (902, "W1-w2_w3"), (903, "ähm Ähm w1"), (904, "w29 " * 30_000 + "rare"), (905, "x" * 5_000_000 + " w5"), (906, None), (907, "w1 w2 😀"),
+    (None, "w1 w2"), (None, None), (900, ""), (901, " .,!"), (902, "W1-w2_w3"), (902, "W1-w2_w3"), (903, "ähm Ähm w1"), (904, "w29 " * 30_000 + "rare"), (905, "x" * 3_000_000 + " w5"), (906, None), (907, "w1 w2 😀"),
 ]
 
 
 @pytest.mark.parametrize(("k", "postings", "block"), [(1, 50, 1000), (5, 200, 7), (20, 1 << 20, 1 << 16)])
 def test_maxscore_is_brute_force(spark, k, postings, block):
     docs = some_docs(300) + EDGES
-    items = [(0, "w1 w5 w29"), (1, "w0 w0 w28 w7"), (2, None), (3, "nowhere"), (4, "rare w29 w2"), (5, " ".join(f"w{i}" for i in range(30))), (5, "Ähm"), (None, "w1 😀"), (6, "x" * 5_000_000)]
+    items = [(0, "w1 w5 w29"), (1, "w0 w0 w28 w7"), (2, None), (3, "nowhere"), (4, "rare w29 w2"), (5, " ".join(f"w{i}" for i in range(30))), (5, "Ähm"), (None, "w1 😀"), (6, "x" * 3_000_000)]
     df = spark.createDataFrame([(i, t, "t", 1, 1, 1) for i, t in docs], DOCS).repartition(3)
     path = maxscore.build_index(df, shard_postings=postings)
     got = maxscore.search(spark, path, spark.createDataFrame(items, "item_id long, text string"), k, block_terms=block)

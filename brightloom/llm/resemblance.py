@@ -74,12 +74,19 @@ def memberships(docs: DataFrame, row_col: str, text_col: str, width: int, bands:
     return docs.select(F.col(row_col), F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, schema).select("row", F.explode("bands").alias("band"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, row_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of rows whose texts share at least `similarity` of their shingles. Only texts that occur in a pair are moved to it."""
+def confirmed(pairs: DataFrame, docs: DataFrame, row_col: str, text_col: str, width: int, similarity: float, share: int = 1024) -> DataFrame:
+    """The pairs (a, b) of rows whose texts share at least `similarity` of their shingles. Only texts that occur in a pair are moved to it.
+
+    A row b of more than `share` pairs gets a copy of its text for each so many of them, and its pairs are dealt over the copies.
+    """
     ship(docs.sparkSession)
     ends = written(pairs.select(F.explode(F.array("a", "b")).alias("_end")).distinct(), "ends")
     texts = docs.select(F.col(row_col).alias("_row"), F.col(text_col).cast("binary").alias("_text"))
     texts = written(texts.join(ends, F.col("_row") == F.col("_end"), "left_semi"), "texts")
+    often = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("copies"))
+    often = written(often.where("copies > 1"), "often")
+    copies = F.coalesce("copies", F.lit(1))
+    pairs = pairs.join(often, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), copies).alias("copy"))
     schema = to_arrow_schema(T.StructType([T.StructField(x, T.LongType()) for x in "ab"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,8 +97,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, row_col: str, text_col: str, wi
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(close) for i in (0, 1)], schema=schema)
 
     left = texts.select(F.col("_row").alias("a"), F.col("_text").alias("x"))
-    right = texts.select(F.col("_row").alias("b"), F.col("_text").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    right = texts.select(F.col("_row").alias("b"), F.col("_text").alias("y")).join(often, "b", "left")
+    right = right.select("b", "y", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1)).alias("copy"))
+    return pairs.join(left, "a").join(right, ["b", "copy"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, rows: DataFrame, row_col: str, text_col: str, width: int) -> DataFrame:
@@ -194,15 +202,16 @@ def near_copies(
     any others, which decides nothing but the order. Null texts count as empty; empty texts, and equal texts of any kind, are near copies of each other.
     Texts of any length are read whole. A pair at the limit is linked. An empty table gives no rows. Other columns are ignored, whatever their names.
 
-    Rows that meet and are not yet in one component are all tested. First each row of a bucket against the bucket's smallest row: a large group of near
-    copies becomes few components with a link each. Then the buckets that still have several components are searched in chunks of `chunk` rows, which
+    Rows that meet and are not yet in one component are all tested. First each row against one other, the smallest row of most of its buckets: a large
+    group of near copies becomes few components with a link each. Then the buckets that still have several components are searched in chunks of `chunk` rows, which
     gives links between components only, never all pairs.
     """
     bands = bands_for(similarity, chance)
     keys = settle(memberships(docs, row_col, text_col, width, bands))
     met = written(keys.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.min("row").alias("pivot")).where("_n > 1").select("band", "pivot"), "met")
     members = written(keys.join(met, "band").select("band", "row", "pivot"), "members")
-    star = members.where("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b"))
+    often = members.where("row <> pivot").groupBy("row", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    star = often.groupBy("row").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b")).select(F.col("row").alias("a"), "b")
     star = star if first is None else star.unionByName(first.select("a", "b"))
     links = written(confirmed(written(star.distinct(), "pairs"), docs, row_col, text_col, width, similarity), "links")
     roots = written(components(links), "roots")

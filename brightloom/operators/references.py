@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import basename, cosine_distance, list_fingerprint, words
+from ..functions.columns import basename, cosine_distance, list_fingerprint
 from ..functions.text import similarity
 from ..session import ship
+from .postings import BOOSTS, METADATA_WEIGHT, lexemes
 from .retrieval import cover_density, query_tokens
 
-#: The boosts of exact names and the weight of words in names.
-BOOSTS = {"symbol": 4.0, "path": 3.0, "basename": 2.0, "title": 1.5, "symbol_prefix": 1.0}
-METADATA_WEIGHT = 1.5
 #: The states in which a hybrid or reranked search falls back.
 HYBRID_STATES = {"ready": "HYBRID", "stale": "LEXICAL_FALLBACK_SEMANTIC_STALE", "unavailable": "LEXICAL_FALLBACK_SEMANTIC_UNAVAILABLE", "provider_error": "LEXICAL_FALLBACK_PROVIDER_ERROR"}
 RERANK_STATES = ("RERANK_FALLBACK_DISABLED", "RERANK_FALLBACK_UNCONFIGURED", "RERANK_FALLBACK_PROVIDER_ERROR", "RERANK_FALLBACK_INVALID_RESPONSE", "RERANK_FALLBACK_NO_CANDIDATES")
@@ -20,7 +18,7 @@ RERANK_STATES = ("RERANK_FALLBACK_DISABLED", "RERANK_FALLBACK_UNCONFIGURED", "RE
 
 def search(refs: DataFrame, query: str, kind: str | None = None, top_k: int | None = 20) -> DataFrame:
     """(reference_id, source_kind, path, symbol, start_line, score): references that hold all words of the query, in their content or in their
-    names, or whose path, title or symbol is the query.
+    names (words or pieces of identifiers), or whose path, title or symbol is the query. One query over references that need no index.
 
     refs: reference_id, chunk_id, source_kind, task_id, path, title, symbol, start_line, content. The score is the cover density of the content, 1.5 times
     that of path, title and symbol, and the boosts. Of a task's references to one chunk only the best stays. The order has six keys, so it is total.
@@ -31,13 +29,14 @@ def search(refs: DataFrame, query: str, kind: str | None = None, top_k: int | No
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     exact = (low("path") == raw) | (low("title") == raw) | (low("symbol") == raw)
     # Whoever lacks a word as a mere run of characters lacks it as a word: most texts are left out before they are cut into words.
-    maybe = [F.forall(F.array(*map(F.lit, tokens)), lambda t: F.contains(F.lower(text), t)) for text in (F.coalesce(F.col("content"), F.lit("")), names)]
-    held = refs.where(maybe[0] | maybe[1] | exact).withColumn("_c", words(F.col("content"))).withColumn("_m", words(names))
+    signs = lambda text: F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    maybe = [F.forall(F.array(*map(F.lit, tokens)), lambda t: F.contains(signs(text), t)) for text in (F.coalesce(F.col("content"), F.lit("")), names)]
+    held = refs.where(maybe[0] | maybe[1] | exact).withColumn("_c", lexemes(F.col("content"))).withColumn("_m", lexemes(names))
     has = lambda c: F.forall(F.array(*map(F.lit, tokens)), lambda t: F.array_contains(c, t))
     held = held.where(has("_c") | has("_m") | exact)
     score = rank_of(held, "_c", tokens) + METADATA_WEIGHT * rank_of(held, "_m", tokens)
-    wanted = {"symbol": low("symbol") == raw, "path": low("path") == raw, "basename": F.lower(basename(F.coalesce("path", F.lit("")))) == raw.rpartition("/")[2]}
-    wanted |= {"title": low("title") == raw, "symbol_prefix": low("symbol").like(f"{raw}.%")}
+    wanted = {"symbol": low("symbol") == raw, "path": low("path") == raw, "basename": F.lower(basename(F.coalesce("path", F.lit("")))) == raw.replace("\\", "/").rpartition("/")[2]}
+    wanted |= {"title": low("title") == raw, "symbol_prefix": F.startswith(low("symbol"), F.lit(f"{raw}."))}
     for name, cond in wanted.items():
         score = score + F.when(cond, BOOSTS[name]).otherwise(0.0)
     group = F.when(F.col("source_kind") == "TASK", F.col("chunk_id")).otherwise(F.col("reference_id").cast("string"))

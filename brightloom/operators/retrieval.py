@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,16 +10,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import cosine_distance, token_estimate, words
+from ..functions.columns import PIECES, cosine_distance, search_text, token_estimate, words
 from ..session import ship
 
 
 def query_tokens(query: str, longest: int = 512) -> list[str]:
-    """Distinct lower-case words of a query, in order; a blank or too long query is an error."""
+    """Distinct lower-case pieces of the identifiers in a query, in order; a blank or too long query, or one without a piece, is an error."""
     q = query.strip()
-    if not q or len(q) > longest:
-        raise ValueError("a query is blank or too long")
-    return list(dict.fromkeys("".join(c if c.isalnum() else " " for c in q.lower()).split()))
+    runs = "".join(c if c.isalnum() else " " for c in q).split()
+    if not runs or len(q) > longest:
+        raise ValueError("a query is blank, too long or without a word")
+    return list(dict.fromkeys(p.casefold() for run in runs for p in re.findall(PIECES, run, re.ASCII) or [run]))
 
 
 def cover_density(places: Sequence[Sequence[int]], weight: float = 0.1) -> float:
@@ -37,13 +39,13 @@ def cover_density(places: Sequence[Sequence[int]], weight: float = 0.1) -> float
 
 
 def lexical(docs: DataFrame, query: str, top_k: int | None = 20) -> DataFrame:
-    """(doc_id, lang, score): documents with every word of the query, by cover density and boosts for exact names.
+    """(doc_id, lang, score): documents with every word of the query, among their words and the pieces of their identifiers, by cover density and boosts for exact names.
 
     One word: each occurrence is its own cover, so the score stays a column expression. More words: positions are scored by a pandas UDF, only for
     documents that hold all words. The order is score, lang, id; top_k None returns every match.
     """
     tokens = query_tokens(query)
-    held = docs.select("doc_id", "lang", "source", words(F.col("text")).alias("w")).where(F.forall(F.array(*map(F.lit, tokens)), lambda t: F.array_contains("w", t)))
+    held = docs.select("doc_id", "lang", "source", words(search_text(F.coalesce("text", F.lit("")))).alias("w")).where(F.forall(F.array(*map(F.lit, tokens)), lambda t: F.array_contains("w", t)))
 
     def places_of(token: str) -> Column:
         return F.filter(F.transform("w", lambda x, i: F.when(x == token, i)), lambda p: p.isNotNull())
@@ -96,19 +98,6 @@ def reranked(candidates: DataFrame, texts: DataFrame, query: str, top_k: int = 5
     return scored.orderBy(F.desc("overlap"), "hybrid_rank").limit(top_k)
 
 
-def search_many(docs: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFrame:
-    """(item_id, doc_id, overlap, rank): for each query the documents that share most of its distinct words, joined by word through postings.
-
-    Words are weighted by nothing else; a document's posting is sent once per distinct word, and only for words that some query has.
-    """
-    asked = queries.select("item_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    vocabulary = asked.select("word").distinct()
-    postings = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(vocabulary, "word", "left_semi")
-    hits = postings.join(asked, "word").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("overlap"))
-    w = Window.partitionBy("item_id").orderBy(F.desc("overlap"), "doc_id")
-    return hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top_k)
-
-
 def containing(docs: DataFrame, items: DataFrame, width: int = 3) -> DataFrame:
     """(item_id, doc_id): the documents of the whole table whose text holds an item's text, sign by sign. Empty and null passages are held by none.
 

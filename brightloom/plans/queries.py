@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import corpus, events, memory, patches, retrieval
+from ..operators import corpus, events, memory, patches, postings, retrieval
+from ..session import shared_folder
 from ..streaming import events as stream
-from .registry import query, table
+from .registry import covers_sql, lexemes_sql, query, table
 
 #: What the test table's event types stand for.
 EVENT_TYPES = {"purchase": "run.completed", "error": "run.failed", "signup": "executor.started", "click": "cache.hit", "view": "cache.miss"}
@@ -359,7 +360,7 @@ def embeddings_missing(spark, sf_dir):
 
 # Retrieval
 
-_LEX = f"SELECT doc_id, lang, round(CAST(0.1 * len([x for x in {_W} if x = 'the']) AS DOUBLE), 6) AS score FROM documents WHERE list_contains({_W}, 'the')"
+_LEX = f"SELECT doc_id, lang, round(CAST(0.1 * n AS DOUBLE), 6) AS score FROM (SELECT *, len([x for x in {lexemes_sql('text')} if x = 'the']) AS n FROM documents) WHERE n > 0"
 _SEM = "SELECT vec_id, label, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)), 6) AS distance FROM embeddings"
 
 
@@ -379,7 +380,7 @@ def lexical_boosts(spark, sf_dir):
     return retrieval.lexical(table(spark, sf_dir, "documents"), "The", top_k=None)
 
 
-@query()
+@query(f"WITH n AS MATERIALIZED (SELECT doc_id, {lexemes_sql('text')} AS w FROM documents), c AS ({covers_sql('n', 'doc_id', 'w', ['the', 'and', 'of'])}) SELECT doc_id, lang, round(score, 6) AS score FROM c JOIN documents USING (doc_id)")
 def lexical_multi_term(spark, sf_dir):
     return retrieval.lexical(table(spark, sf_dir, "documents"), "the and of", top_k=None)
 
@@ -428,7 +429,10 @@ _MANY = f"""a AS (SELECT DISTINCT item_id, unnest({_W}) AS word FROM benchmark),
 
 @query(f"WITH {_MANY} SELECT * FROM q")
 def search_many(spark, sf_dir):
-    return retrieval.search_many(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    terms = F.array_distinct(C.words(F.col("text")))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), terms.alias("w"))
+    index = postings.build(docs, shared_folder(spark, "words"), F.col("w"))
+    return postings.search_overlap(spark, index, table(spark, sf_dir, "benchmark").select("item_id", terms.alias("terms")))
 
 
 _EVAL = f"""{_MANY}, rel AS (SELECT DISTINCT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
@@ -440,7 +444,7 @@ _EVAL = f"""{_MANY}, rel AS (SELECT DISTINCT item_id, doc_id FROM documents d JO
 def retrieval_eval(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     asked = items.select("item_id", (F.col("item_id") % 2 == 0).alias("critical"))
-    return retrieval.evaluation(retrieval.search_many(docs, items), retrieval.containing(docs, items), asked)
+    return retrieval.evaluation(search_many(spark, sf_dir), retrieval.containing(docs, items), asked)
 
 
 @query(f"WITH {_EVAL} SELECT item_id, doc_id FROM rel")

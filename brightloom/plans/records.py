@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import sha256_text
 from ..operators import memory, retrieval
 from ..streaming import events as stream
+from ..session import shared_folder
 from .registry import query, table
 
 
@@ -75,7 +76,5 @@ def event_frames(spark, sf_dir):
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_id > 500")
 def stream_replay(spark, sf_dir):
-    import uuid
-
-    into = f"{stream.shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    into = shared_folder(spark, "replay")
     return stream.replay(spark, f"{sf_dir}/events.parque[t]", into, 500).select("event_id", "user_id", "event_type")

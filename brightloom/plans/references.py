@@ -9,9 +9,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import sha256_text
+from ..operators import postings
 from ..operators import references as R
 from .queries import first_vector
-from .registry import query, table
+from .registry import covers_sql, lexemes_sql, query, table
 
 _REFS = """r AS (SELECT doc_id AS reference_id, sha256(text) AS chunk_id, CASE WHEN lang = 'de' THEN 'TASK' ELSE lang END AS source_kind, CASE WHEN doc_id % 5 > 0 THEN doc_id % 5 END AS task_id,
     'docs/' || source || '/' || (doc_id % 9) || '.md' AS path, source AS title, source || '.read' || doc_id % 7 AS symbol, CAST(doc_id % 3 AS BIGINT) AS start_line, text AS content FROM documents)"""
@@ -26,38 +27,58 @@ def references(spark, sf_dir):
     )
 
 
-def _search_sql(q: str, kind: str = "", limit: str = "") -> str:
-    words = "regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{N}}]+')"
-    n = lambda c: f"len([x for x in {words.format(c)} if x = '{q}'])"
-    return f"""WITH {_REFS}, n AS (SELECT *, {n('content')} AS nc, {n("path || ' ' || title || ' ' || symbol")} AS nm FROM r {kind}),
-    s AS (SELECT *, round(CAST(0.1 * nc + 1.5 * 0.1 * nm + CASE WHEN lower(symbol) = '{q}' THEN 4 ELSE 0 END + CASE WHEN lower(path) = '{q}' THEN 3 ELSE 0 END
-        + CASE WHEN lower(regexp_replace(path, '^.*/', '')) = '{q}' THEN 2 ELSE 0 END + CASE WHEN lower(title) = '{q}' THEN 1.5 ELSE 0 END + CASE WHEN lower(symbol) LIKE '{q}.%' THEN 1 ELSE 0 END AS DOUBLE), 6) AS score
-        FROM n WHERE nc > 0 OR nm > 0 OR lower(path) = '{q}' OR lower(title) = '{q}' OR lower(symbol) = '{q}')
+def _search_sql(raw: str, tokens: list[str], kind: str = "", limit: str = "") -> str:
+    raw = raw.lower()
+    return f"""WITH {_REFS}, n AS MATERIALIZED (SELECT *, {lexemes_sql('content')} AS c, {lexemes_sql("path || ' ' || title || ' ' || symbol")} AS m FROM r {kind}),
+    cd AS ({covers_sql('n', 'reference_id', 'c', tokens)}), md AS ({covers_sql('n', 'reference_id', 'm', tokens)}),
+    s AS (SELECT n.*, round(CAST(coalesce(cd.score, 0) + 1.5 * coalesce(md.score, 0) + CASE WHEN lower(symbol) = '{raw}' THEN 4 ELSE 0 END + CASE WHEN lower(path) = '{raw}' THEN 3 ELSE 0 END
+        + CASE WHEN lower(regexp_replace(path, '^.*/', '')) = '{raw}' THEN 2 ELSE 0 END + CASE WHEN lower(title) = '{raw}' THEN 1.5 ELSE 0 END + CASE WHEN starts_with(lower(symbol), '{raw}.') THEN 1 ELSE 0 END AS DOUBLE), 6) AS score
+        FROM n LEFT JOIN cd USING (reference_id) LEFT JOIN md USING (reference_id)
+        WHERE cd.score IS NOT NULL OR md.score IS NOT NULL OR lower(path) = '{raw}' OR lower(title) = '{raw}' OR lower(symbol) = '{raw}')
     SELECT reference_id, source_kind, path, symbol, start_line, score FROM s
     QUALIFY row_number() OVER (PARTITION BY source_kind, CASE WHEN source_kind = 'TASK' THEN chunk_id ELSE CAST(reference_id AS VARCHAR) END ORDER BY score DESC, task_id NULLS LAST, reference_id) = 1
     ORDER BY score DESC, source_kind, lower(path), lower(symbol), start_line, reference_id {limit}"""
 
 
-@query(_search_sql("src3"))
+@query(_search_sql("src3", ["src", "3"]))
 def reference_search_boosts(spark, sf_dir):
     return R.search(references(spark, sf_dir), "SRC3", top_k=None)
 
 
-@query(_search_sql("the", limit="LIMIT 20"))
+@query(_search_sql("the", ["the"], limit="LIMIT 20"))
 def reference_search_topk(spark, sf_dir):
     return R.search(references(spark, sf_dir), "the")
 
 
-@query(_search_sql("der", "WHERE source_kind = 'TASK'"))
+@query(_search_sql("der", ["der"], "WHERE source_kind = 'TASK'"))
 def reference_search_dedup(spark, sf_dir):
     return R.search(references(spark, sf_dir), "der", kind="TASK", top_k=None)
 
 
-@query()
+@query(_search_sql("the and", ["the", "and"]))
 def reference_search_multi_term(spark, sf_dir):
     return R.search(references(spark, sf_dir), "the and", top_k=None)
 
 
+#: Queries and their tokens: common and rare words, names, a hump, a faulty one.
+_QUERIES = {1: ("the", ["the"]), 2: ("the and", ["the", "and"]), 3: ("src3.read", ["src", "3", "read"]), 4: ("src 3 Read", ["src", "3", "read"]), 5: ("docs/src1/4.md", ["docs", "src", "1", "4", "md"]), 6: ("zzzz the", ["zzzz", "the"]), 7: ("srcRead", ["src", "read"]), 8: (" ", [])}
+_COLS = "reference_id, source_kind, path, symbol, start_line, score"
+_ORDER = "score DESC, source_kind, lower(path), lower(symbol), start_line, reference_id"
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS query_id, row_number() OVER (ORDER BY {_ORDER}) AS rank, {_COLS} FROM ({_search_sql(q, t, limit='LIMIT 20')})".replace("lower(regexp_replace(path, '^.*/', '')) = 'docs/src1/4.md'", "lower(regexp_replace(path, '^.*/', '')) = '4.md'") for i, (q, t) in _QUERIES.items() if t))
+def reference_search_index(spark, sf_dir):
+    index = postings.build_references(references(spark, sf_dir))
+    queries = spark.createDataFrame([(i, q) for i, (q, _) in _QUERIES.items()], "query_id int, query string")
+    return postings.search_references(spark, index, queries)
+
+
+@query(f"WITH q AS (SELECT item_id AS query_id, left(text, 40) AS q, {lexemes_sql('left(text, 40)')} AS l, len(regexp_extract_all(left(text, 40), '[\\p{{L}}\\p{{N}}]+')) AS n FROM benchmark) SELECT query_id, lower(trim(q)) AS raw, array_to_string(list_sort(list_distinct(list_slice(l, n + 1, len(l)))), ' ') AS tokens, CAST(NULL AS VARCHAR) AS fault FROM q")
+def normalised_queries(spark, sf_dir):
+    q = postings.normalised_queries(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(40)).alias("query")))
+    return q.select("query_id", "raw", F.array_join(F.array_sort("tokens"), " ").alias("tokens"), "fault")
+
+
 _ELIGIBLE = """c AS (SELECT doc_id AS reference_id, doc_id % 2 AS project_id, doc_id % 7 <> 0 AS is_current, doc_id AS chunk_id, sha256(text) AS h FROM documents),
     v AS (SELECT vec_id AS chunk_id, vec_id % 3 AS run_id, embedding, CASE WHEN vec_id % 4 = 0 THEN 'old' END AS stale FROM embeddings)"""
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -19,6 +20,24 @@ def session(app: str = "brightloom", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder of the storage that driver and executors share, as spark.checkpoint.dir names it; only a local master may leave it unset and gets the warehouse."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """The rows, written to the shared storage and read from it: computed once, and of a size that the planner knows."""
+    path = shared_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per application, wherever the driver was started."""
     app = spark.sparkContext.applicationId

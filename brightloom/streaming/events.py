@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or the warehouse where none is set (local tests)."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+from ..session import shared_folder
 
 
 def fold(spark: SparkSession, path: str, parse: Callable[[DataFrame], DataFrame], group: Callable[[DataFrame], DataFrame], id_col: str, into: str | None = None) -> DataFrame:
@@ -21,7 +17,7 @@ def fold(spark: SparkSession, path: str, parse: Callable[[DataFrame], DataFrame]
     from the last batch, after a lost driver or when files came since; without new files it returns the result that is there. Each batch replaces
     the result before it. Keys never expire here; a caller that may forget late copies sets a watermark in `parse`.
     """
-    into = into or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    into = into or shared_folder(spark, "stream")
     schema = spark.read.parquet(path).schema
     unique = group(parse(spark.readStream.schema(schema).parquet(path)).dropDuplicates([id_col]))
 

@@ -1,4 +1,4 @@
-from . import charts, code, context, files, queries, records, references, text
+from . import charts, code, context, files, queries, records, references, tasks, text
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "charts", "code", "context", "files", "queries", "records", "references", "text"]
+__all__ = ["ORACLE_SQL", "QUERIES", "charts", "code", "context", "files", "queries", "records", "references", "tasks", "text"]

@@ -19,10 +19,23 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so this is [0-9a-f]+ of 32 or more
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.[A-Za-z0-9_-]*")
-ARMOUR = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY-----")
+#: Encrypted tokens: five segments, of which the second is empty where the key is agreed on directly.
+SEALED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{16,})(?:\.[A-Za-z0-9_-]*){2}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]{8,}(?![A-Za-z0-9_.-])")
+ARMOUR = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY( BLOCK)?-----")
+KEY_TYPE = re.compile(r"\"kty\"\s*:")
+PUTTY = re.compile(r"PuTTY-User-Key-File-[23]: (\S+)\r?\nEncryption: (\S+)\r?\nComment: [^\n]*\nPublic-Lines: (\d{1,4})\r?\n")
+PUTTY_PRIVATE = re.compile(r"(?:(?:Key-Derivation|Argon2-[A-Za-z]+): [^\n]*\n)*Private-Lines: (\d{1,4})\r?\n")
+PUTTY_SEAL = re.compile(r"Private-(?:MAC|Hash): [0-9a-f]{40,64}")
 #: Base64 and hex, unbroken or in lines of equal length as tools wrap them, hex also in pairs with colons.
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}|[A-Za-z0-9+/_-]{44,})={0,2}")
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:(?:[0-9A-Fa-f]{2}:\s{0,8}){31,}[0-9A-Fa-f]{2}|(?:[0-9A-Fa-f]{32,128}\r?\n)+[0-9A-Fa-f]{2,}|[0-9A-Fa-f]{64,})")
+#: PKCS#7 data, and the bags of PKCS#12 that hold a private key.
+DATA, KEY_BAGS = b"\x2a\x86\x48\x86\xf7\x0d\x01\x07\x01", (b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x0a\x01\x01", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x0a\x01\x02")
+#: Characters of a JSON key at most; the largest RSA keys in use take a third of it.
+JWK_CHARS = 1 << 16
+#: What a private JSON key holds besides its type; secret-key packets of OpenPGP, their versions and algorithms.
+PRIVATE_JWK = {"RSA": ("n", "d"), "EC": ("crv", "x", "d"), "OKP": ("crv", "x", "d"), "oct": ("k",)}
+PGP_PACKETS, PGP_VERSIONS, PGP_ALGORITHMS = (5, 7), (3, 4, 5, 6), {1, 2, 3, 16, 17, 18, 19, 22, 25, 26, 27, 28}
 #: The start of the object identifiers of password-based encryption (PKCS#5 and PKCS#12).
 ENCRYPTION = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
 
@@ -96,7 +109,7 @@ def is_openssh_key(data: bytes) -> bool:
 
 
 def is_private_key(data: bytes) -> bool:
-    """True for PKCS#1, DSA, PKCS#8 (also encrypted) and SEC 1 private keys in DER, and for OpenSSH's format, whose nested lengths all fit."""
+    """True for PKCS#1, DSA, PKCS#8 (also encrypted), SEC 1 and PKCS#12 private keys in DER, and for OpenSSH's format, whose nested lengths all fit."""
     if data.startswith(b"openssh-key-v1\0"):
         return is_openssh_key(data)
     outer = der_items(data) if data[:1] == b"\x30" else []
@@ -104,6 +117,9 @@ def is_private_key(data: bytes) -> bool:
         return False
     items = der_items(outer[0][1])
     tags = [t for t, _ in items]
+    if tags in ([0x02, 0x30], [0x02, 0x30, 0x30]) and items[0][1] == b"\3":  # PKCS#12: version, safe contents, seal
+        inner = der_items(items[1][1])
+        return len(inner) == 2 and inner[0] == (0x06, DATA) and inner[1][0] == 0xA0 and any(bag in data for bag in KEY_BAGS)
     if tags == [0x30, 0x04]:  # encrypted PKCS#8: how, what
         inner = der_items(items[0][1])
         return len(inner) == 2 and inner[0][0] == 0x06 and inner[0][1].startswith(ENCRYPTION) and len(items[1][1]) >= 32
@@ -130,18 +146,69 @@ def is_armoured_key(body: str) -> bool:
     return is_private_key(data)
 
 
+def is_pgp_key(body: str) -> bool:
+    """True if what stands in an OpenPGP armour begins with a secret-key packet whose length fits."""
+    lines = body.replace("\\r", "").replace("\\n", "\n").split("\n")
+    data = unbase64("".join("".join(x.split()) for x in lines if ":" not in x and not x.startswith("=")))
+    if len(data) < 12 or not data[0] & 0x80:
+        return False
+    if data[0] & 0x40:  # new format: a length of one, two or five bytes
+        tag, n, at = data[0] & 0x3F, data[1], 2
+        if 192 <= n < 224:
+            n, at = (n - 192 << 8) + data[2] + 192, 3
+        elif n == 255:
+            n, at = int.from_bytes(data[2:6]), 6
+    else:
+        tag, k = data[0] >> 2 & 0xF, 1 << (data[0] & 3)
+        n, at = int.from_bytes(data[1 : 1 + k]), 1 + k
+    version = data[at]
+    return tag in PGP_PACKETS and n >= 12 and at + n <= len(data) and version in PGP_VERSIONS and data[at + (7 if version == 3 else 5)] in PGP_ALGORITHMS
+
+
+def putty_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of PuTTY key files: as many lines of base64 as they say, a public part of length-prefixed strings that begins with the algorithm, a private part and a seal."""
+    for m in PUTTY.finditer(text):
+        lines, at = text[m.end() : m.end() + 80 * int(m[3])].split("\n")[: int(m[3])], m.end()
+        at += sum(len(x) + 1 for x in lines)
+        public = ssh_strings(unbase64("".join("".join(lines).split())), 2)[0]
+        p = PUTTY_PRIVATE.match(text, at)
+        if len(public) < 2 or public[0] != m[1].encode() or not p:
+            continue
+        lines, at = text[p.end() : p.end() + 80 * int(p[1])].split("\n")[: int(p[1])], p.end()
+        at += sum(len(x) + 1 for x in lines)
+        seal, private = PUTTY_SEAL.match(text, at), unbase64("".join("".join(lines).split()))
+        if seal and (ssh_strings(private, 1)[0] if m[2] == "none" else private and len(private) % 16 == 0):
+            yield m.start(), seal.end()
+
+
+def json_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of JSON objects that are private keys: a known type, and all that such a key holds in base64. Each opening brace is read once."""
+    low = 0
+    for m in KEY_TYPE.finditer(text):
+        start, low = text.rfind("{", low, m.start()), m.end()
+        if start < 0:
+            continue
+        try:
+            found, size = json.JSONDecoder().raw_decode(text[start : start + JWK_CHARS])
+        except (ValueError, RecursionError):
+            continue
+        names = PRIVATE_JWK.get(found.get("kty")) if isinstance(found, dict) and isinstance(found.get("kty"), str) else None
+        if names and all(isinstance(found.get(n), str) and (n == "crv" or unbase64(found[n])) for n in names):
+            yield start, start + size
+
+
 def armoured(text: str) -> Iterator[tuple[int, int]]:
     """Spans of PEM blocks that hold a private key: each BEGIN with the END that comes next."""
     begin = None
     for m in ARMOUR.finditer(text):
-        if m[1] == "END" and begin and is_armoured_key(text[begin.end() : m.start()]):
+        if m[1] == "END" and begin and begin[2] == m[2] and (is_pgp_key if m[2] else is_armoured_key)(text[begin.end() : m.start()]):
             yield begin.start(), m.end()
         begin = m if m[1] == "BEGIN" else None
 
 
 def holds_key(data: bytes) -> bool:
     """True if decoded bytes are a private key, or a text with one in armour."""
-    return is_private_key(data) or (b"PRIVATE KEY-----" in data and any(armoured(data.decode("latin-1"))))
+    return is_private_key(data) or (b"PRIVATE KEY" in data and any(armoured(data.decode("latin-1"))))
 
 
 def is_signed_token(header: str, claims: str) -> bool:
@@ -152,7 +219,18 @@ def is_signed_token(header: str, claims: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
+def is_sealed_token(header: str) -> bool:
+    try:
+        head = json.loads(unbase64(header))
+    except (ValueError, RecursionError):
+        return False
+    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(head.get("enc"), str)
+
+
 def found_by_structure(text: str) -> Iterator[tuple[str, int, int]]:
+    for m in SEALED.finditer(text):
+        if is_sealed_token(m[1]):
+            yield ("jwt", *m.span())
     at = 0
     while m := SIGNED.search(text, at):
         at = m.end()
@@ -160,7 +238,7 @@ def found_by_structure(text: str) -> Iterator[tuple[str, int, int]]:
             yield ("jwt", *m.span())
         else:
             at = m.start(2)  # the token may start one segment further
-    taken = list(armoured(text))
+    taken = [*armoured(text), *putty_keys(text), *json_keys(text)]
     for span in taken:
         yield ("key", *span)
     unhex = lambda s: bytes.fromhex(s[: len(s) // 2 * 2])

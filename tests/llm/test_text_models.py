@@ -295,6 +295,34 @@ def test_key_encodings_are_parsed_to_the_end():
     assert secrets.scan(f"access_token.{jwt}")[1] == [("jwt", 13, 13 + len(jwt))]
 
 
+def test_keys_in_other_files():
+    b64 = lambda d: base64.b64encode(d).decode()
+    url = lambda d: base64.urlsafe_b64encode(d).decode().rstrip("=")
+    wrap = lambda s, n=64: "\n".join(s[i : i + n] for i in range(0, len(s), n))
+    packet = b"\x04" + b"time" + b"\x16" + b"k" * 90
+    pgp = lambda d: f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x\n\n{wrap(b64(d))}\n=abcd\n-----END PGP PRIVATE KEY BLOCK-----"
+    public, private = wrap(b64(ssh(b"ssh-ed25519", b"k" * 32))), wrap(b64(ssh(b"s" * 32)))
+    putty = lambda kind="ssh-ed25519", lines=1: f"PuTTY-User-Key-File-3: {kind}\nEncryption: none\nComment: me\nPublic-Lines: {public.count(chr(10)) + 1}\n{public}\nPrivate-Lines: {lines}\n{private}\nPrivate-MAC: {'0f' * 32}"
+    ec = {"kty": "EC", "crv": "P-256", "x": url(b"x" * 32), "y": url(b"y" * 32), "d": url(b"d" * 32)}
+    bag = tlv(0x06, b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x0a\x01\x02")
+    safe = lambda b: tlv(0x30, tlv(2, b"\3"), tlv(0x30, tlv(0x06, b"\x2a\x86\x48\x86\xf7\x0d\x01\x07\x01"), tlv(0xA0, tlv(4, tlv(0x30, b, tlv(0xA0, b"e" * 150))))))
+    good = [
+        pgp(bytes([0x95]) + len(packet).to_bytes(2) + packet), pgp(bytes([0xC5, len(packet)]) + packet), putty(), json.dumps(ec), json.dumps({"kty": "oct", "k": url(b"k" * 32)}), b64(safe(bag)), safe(bag).hex(),
+    ]
+    for t in good:
+        assert secrets.scan(f"x {t} y")[1] == [("key", 2, 2 + len(t))], t
+    assert [s[0] for s in secrets.scan(json.dumps({"keys": [ec, {k: v for k, v in ec.items() if k != "d"}, ec]}))[1]] == ["key", "key"]
+    bad = [
+        pgp(bytes([0x99]) + len(packet).to_bytes(2) + packet), pgp(bytes([0x95, 0xFF, 0xFF]) + packet), putty("ssh-rsa"), putty(lines=3), json.dumps({k: v for k, v in ec.items() if k != "d"}), json.dumps({"kty": ["EC"], "d": "x"}),
+        b64(safe(tlv(0x06, b"\x2a\x03"))), '"kty":' * 20_000, '{"kty":' * 3_000, "PuTTY-User-Key-File-2: ssh-rsa\n" * 500,
+    ]
+    for t in bad:
+        assert secrets.scan(f"x {t} y")[1] == [], t[:200]
+    jwe = f"{url(json.dumps({'alg': 'dir', 'enc': 'A256GCM'}).encode())}..{url(b'i' * 12)}.{url(b'c' * 40)}.{url(b't' * 16)}"
+    assert secrets.scan(f"use {jwe} now")[1] == [("jwt", 4, 4 + len(jwe))]
+    assert secrets.scan(f"use {url(b'{1:2}' * 5)}..{url(b'i' * 12)}.{url(b'c' * 40)}.{url(b't' * 16)} now")[1] == []
+
+
 def plain_base(text):
     """Base spans sign by sign: at each place the longest match by the rules, then on from its end."""
     found, run = [], lambda at, ok: next((j for j in range(at, len(text)) if text[j] not in ok), len(text))

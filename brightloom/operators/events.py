@@ -88,23 +88,25 @@ def cache_rates(events: DataFrame, *by: str) -> DataFrame:
     return n.withColumn("rate", F.round(F.col("hits") / F.nullif(F.col("hits") + F.col("misses"), F.lit(0)), 6))
 
 
-def running(events: DataFrame, good: Column, bad: Column, by: str = "run_id", ranges: int = 64) -> DataFrame:
+def running(events: DataFrame, good: Column, bad: Column, by: str = "run_id", large: int = 1 << 20) -> DataFrame:
     """A point per event once there is an outcome: the share of good ones so far within its run.
 
-    A run is cut into ranges of ordering ids; the ranges' totals are accumulated first, one row each, then each range by itself, so no run is one task.
+    A run of more than `large` events is cut into as many ranges of ordering ids as it has times so many; the ranges' totals are accumulated first, one row
+    each, then each range by itself, so no run is one task. All other runs are accumulated whole; only large ones have rows in what is joined.
     """
     n = events.select(by, "ordering_id", good.cast("long").alias("_g"), bad.cast("long").alias("_b"))
-    edges = n.agg(F.percentile_approx("ordering_id", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("p")).first()["p"] or []
-    edges = sorted(set(edges))
-    part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("ordering_id"))) if edges else F.lit(0)
-    n = n.withColumn("_p", part)
-    sums = n.groupBy(by, "_p").agg(F.sum("_g").alias("_g"), F.sum("_b").alias("_b"))
-    before = Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    per = n.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n"), F.min("ordering_id").alias("_lo"), F.max("ordering_id").alias("_hi")).where(F.col("_n") > large)
+    n = n.join(per, F.col(by).eqNullSafe(F.col("_by")), "left")
+    share = (F.col("ordering_id") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
+    n = n.select(by, "ordering_id", "_g", "_b", F.floor(share * F.ceil(F.col("_n") / large)).cast("int").alias("_p"))
+    sums = n.where("_p IS NOT NULL").groupBy(F.col(by).alias("_by"), F.col("_p").alias("_sp")).agg(F.sum("_g").alias("_g"), F.sum("_b").alias("_b"))
+    before = Window.partitionBy("_by").orderBy("_sp").rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0).cast("long"))
-    sums = sums.select(F.col(by).alias("_by"), F.col("_p").alias("_sp"), zero("_g", before).alias("_g0"), zero("_b", before).alias("_b0"))
+    sums = sums.select("_by", "_sp", zero("_g", before).alias("_g0"), zero("_b", before).alias("_b0"))
+    n = n.join(sums, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_p") == F.col("_sp")), "left")
     upto = Window.partitionBy(by, "_p").orderBy("ordering_id").rowsBetween(Window.unboundedPreceding, 0)
-    n = n.join(sums, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_p") == F.col("_sp")))
-    n = n.select(by, "ordering_id", (F.col("_g0") + zero("_g", upto)).alias("good"), (F.col("_b0") + zero("_b", upto)).alias("bad"))
+    so_far = lambda c: F.coalesce(f"{c}0", F.lit(0).cast("long")) + zero(c, upto)
+    n = n.select(by, "ordering_id", so_far("_g").alias("good"), so_far("_b").alias("bad"))
     return n.where("good + bad > 0").withColumn("rate", F.round(F.col("good") / (F.col("good") + F.col("bad")), 6))
 
 

@@ -38,6 +38,28 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _at(spark, path)
+    return files.exists(at)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    files, at = _at(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder if it is there."""
+    files, at = _at(spark, path)
+    files.delete(at, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per application, wherever the driver was started."""
     app = spark.sparkContext.applicationId

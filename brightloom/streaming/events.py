@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import exists, forget, shared_folder
 
 
 def fold(spark: SparkSession, path: str, parse: Callable[[DataFrame], DataFrame], group: Callable[[DataFrame], DataFrame], id_col: str, into: str | None = None) -> DataFrame:
@@ -15,7 +15,7 @@ def fold(spark: SparkSession, path: str, parse: Callable[[DataFrame], DataFrame]
 
     State, offsets and result lie in the folder `into` of the shared storage (a new one if none is named). A further call with the same `into` goes on
     from the last batch, after a lost driver or when files came since; without new files it returns the result that is there. Each batch replaces
-    the result before it. Keys never expire here; a caller that may forget late copies sets a watermark in `parse`.
+    the result before it, of which only one is kept, so storage does not grow with batches. Keys never expire here; a caller that may forget late copies sets a watermark in `parse`.
     """
     into = into or shared_folder(spark, "stream")
     schema = spark.read.parquet(path).schema
@@ -23,21 +23,17 @@ def fold(spark: SparkSession, path: str, parse: Callable[[DataFrame], DataFrame]
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{into}/result/batch={number}")
+        forget(spark, f"{into}/result/batch={number - 2}")
 
     run = unique.writeStream.outputMode("complete").option("checkpointLocation", f"{into}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
     run.awaitTermination()
-    if run.lastProgress is None and not _there(spark, f"{into}/result"):
+    if run.lastProgress is None and not exists(spark, f"{into}/result"):
         return spark.createDataFrame([], unique.schema)  # no event at all
     every = spark.read.schema(unique.schema.add("batch", "long")).parquet(f"{into}/result")
     last = every.agg(F.max("batch").alias("n")).first()["n"]
     return every.where(F.col("batch") == (last if last is not None else -1)).drop("batch")
 
 
-def _there(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
 def valid_cursor(cursor: Column) -> Column:
     """A cursor as a long; null for what is no positive whole number in ASCII digits."""
     return F.when(F.rlike(cursor, F.lit("^[1-9][0-9]{0,18}$")), cursor.try_cast("long"))

@@ -60,6 +60,18 @@ def forget(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def publish(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole or not at all: under another name first, then renamed. A file that is there already is an error."""
+    files, at = _at(spark, path)
+    _, draft = _at(spark, f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex}")
+    out = files.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if files.exists(at) or not files.rename(draft, at):
+        files.delete(draft, False)
+        raise FileExistsError(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per application, wherever the driver was started."""
     app = spark.sparkContext.applicationId

@@ -50,6 +50,15 @@ class Index(NamedTuple):
         return spark.read.schema(self.document).parquet(f"{self.path}/documents")
 
 
+class Unindexed(NamedTuple):
+    """Documents (id, c) for a single search, which does not pay for a stored index: postings are read off the documents."""
+
+    forward: DataFrame
+
+    def documents(self, spark: SparkSession) -> DataFrame:
+        return self.forward
+
+
 def build(docs: DataFrame, path: str, content: Column, names: Column | None = None, payload: Sequence[str] = (), group: Column | None = None, keys: Column | None = None, block: int = BLOCK) -> Index:
     """Write the index of docs (id and other columns) to a folder.
 
@@ -75,8 +84,16 @@ def build(docs: DataFrame, path: str, content: Column, names: Column | None = No
     return Index(path, parts, whole.schema, rows.schema)
 
 
-def postings_of(spark: SparkSession, index: Index, terms: DataFrame) -> DataFrame:
+def unindexed(docs: DataFrame, content: Column) -> Unindexed:
+    """Documents with their distinct lexemes, cut once; ids do not repeat and are not null."""
+    return Unindexed(kept(docs.select("id", content.alias("c")), "documents"))
+
+
+def postings_of(spark: SparkSession, index: Index | Unindexed, terms: DataFrame) -> DataFrame:
     """The postings of the terms (term, ...): the part of a term is known, so only parts that are asked for are read."""
+    if isinstance(index, Unindexed):
+        each = index.forward.select(F.explode("c").alias("term"), F.array("id").alias("ids"), F.lit(1).cast("long").alias("n"))
+        return each.join(terms, "term")
     part = F.pmod(F.xxhash64("term"), F.lit(index.parts)).cast("int")
     return spark.read.schema(index.posting).parquet(f"{index.path}/postings").join(terms.withColumn("part", part), ["part", "term"])
 
@@ -165,7 +182,7 @@ def search_references(spark: SparkSession, index: Index, queries: DataFrame, top
     return every.select("query_id", "rank", "reference_id", "source_kind", "path", "symbol", "start_line", "score")
 
 
-def search_overlap(spark: SparkSession, index: Index, items: DataFrame, top_k: int = 5, first: int = 8) -> DataFrame:
+def search_overlap(spark: SparkSession, index: Index | Unindexed, items: DataFrame, top_k: int = 5, first: int = 8) -> DataFrame:
     """(item_id, doc_id, overlap, rank): for each item (item_id, terms; terms distinct) the documents that share most of its terms, at least one.
 
     A document that shares s of n terms has one of the n - s + 1 rarest. First the `first` rarest terms of an item name candidates, whose overlaps are

@@ -116,10 +116,11 @@ def containing(docs: DataFrame, items: DataFrame, width: int = 3) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
 
     def runs_of(by: int) -> DataFrame:
-        n, w = abs(by), cut(text)
-        size = F.size(w) if by > 0 else F.length(text)
-        hashed = lambda i: F.xxhash64(F.lit(by), F.slice(w, i, n) if by > 0 else F.array(F.substring(text, i, F.lit(n))))
-        return docs.where(size >= n).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), size - n + 1), hashed))).alias("anchor"))
+        n = abs(by)
+        cut_once = docs.select("doc_id", (cut(text) if by > 0 else text).alias("_w"))  # a column of its own: not cut anew for every place
+        size = F.size("_w") if by > 0 else F.length("_w")
+        hashed = lambda i: F.xxhash64(F.lit(by), F.slice("_w", i, n) if by > 0 else F.array(F.substring("_w", i, F.lit(n))))
+        return cut_once.where(size >= n).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), size - n + 1), hashed))).alias("anchor"))
 
     runs = [runs_of(by) for (by,) in asked.select("by").distinct().collect()]  # at most width + 3
     if not runs:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import corpus, events, memory, patches, postings, retrieval
-from ..session import shared_folder
 from ..streaming import events as stream
 from .registry import covers_sql, lexemes_sql, query, table
 
@@ -431,8 +430,7 @@ _MANY = f"""a AS (SELECT DISTINCT item_id, unnest({_W}) AS word FROM benchmark),
 def search_many(spark, sf_dir):
     terms = F.array_distinct(C.words(F.col("text")))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), terms.alias("w"))
-    index = postings.build(docs, shared_folder(spark, "words"), F.col("w"))
-    return postings.search_overlap(spark, index, table(spark, sf_dir, "benchmark").select("item_id", terms.alias("terms")))
+    return postings.search_overlap(spark, postings.unindexed(docs, F.col("w")), table(spark, sf_dir, "benchmark").select("item_id", terms.alias("terms")))
 
 
 _EVAL = f"""{_MANY}, rel AS (SELECT DISTINCT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)),

@@ -40,7 +40,7 @@ def baselines(spark, sf_dir) -> tuple[str, DataFrame]:
     held = F.to_json(F.struct(F.lit(state.CACHE_VERSION).alias("schema_version"), F.col("p").cast("string").alias("project_id"), F.col("t").cast("string").alias("task_id"), fp("in").alias("context_input_fingerprint"), fp("out").alias("context_output_fingerprint"), F.col("k").cast("string").alias("serialized_capsule")))
     cached = o.where("k % 5 <> 3").select(F.lit(None).cast("long").alias("request_id"), F.lit("put").alias("op"), state.cache_key(F.col("p"), fp("in")).alias("key"), held.alias("value"), at.alias("at"))
     path = shared_folder(spark, "baselines")
-    puts.unionByName(cached).coalesce(1).write.parquet(path)
+    puts.unionByName(cached).write.parquet(path)
     asked = o.select(F.col("k").alias("request_id"), F.col("p").alias("project_id"), F.col("t").alias("task_id"), fp("out").alias("output"), (at + F.make_dt_interval(secs=(F.col("k") % 7 * 100).cast("decimal(18,6)"))).alias("at"))
     return path, asked
 

@@ -121,11 +121,14 @@ def complete_files(tasks: DataFrame, items: DataFrame, files: DataFrame, names:
     seen = rest.join(seen.groupBy("task_id", "path").agg(F.min("at").alias("at")), "task_id").join(tracked, ["project_id", "path"], "left_semi")
     seen = seen.select("task_id", "project_id", "path", F.row_number().over(Window.partitionBy("task_id").orderBy("at", "path")).alias("at"), F.size("shorts").alias("n"))
     asked = rest.select("task_id", "project_id", F.explode("shorts").alias("short"))
-    defining = asked.join(names.select("project_id", "path", "short").distinct(), ["project_id", "short"])
-    # Of a whole project only the first paths count, so that many files with one name stay few rows.
-    ranked = defining.select("task_id", "path").distinct().withColumn("r", F.row_number().over(Window.partitionBy("task_id").orderBy("path")))
-    own = seen.where("n > 0").join(defining.select("task_id", "path").distinct(), ["task_id", "path"], "left_semi").select("task_id", F.lit(1).alias("way"), "at", "path")
-    project = ranked.where(F.col("r") <= most).select("task_id", F.lit(2).alias("way"), F.col("r").alias("at"), "path")
+    # A short name may be defined in every file of a project: tasks meet only the files found for them, and the first paths of each name, which hold the first of any names.
+    defining = names.select("project_id", "path", "short").distinct()
+    own = seen.where("n > 0").join(asked.select("task_id", "short"), "task_id").join(defining, ["project_id", "path", "short"], "left_semi")
+    own = own.select("task_id", F.lit(1).alias("way"), "at", "path").distinct()
+    first = defining.withColumn("r", F.row_number().over(Window.partitionBy("project_id", "short").orderBy("path"))).where(F.col("r") <= most).drop("r")
+    project = asked.join(first, ["project_id", "short"]).select("task_id", "path").distinct()
+    project = project.withColumn("r", F.row_number().over(Window.partitionBy("task_id").orderBy("path"))).where(F.col("r") <= most)
+    project = project.select("task_id", F.lit(2).alias("way"), F.col("r").alias("at"), "path")
     any_ = seen.where("n = 0").select("task_id", F.lit(3).alias("way"), "at", "path")
     every = named.unionByName(own).unionByName(project).unionByName(any_).join(foreign, "task_id", "left_anti")
     least = every.groupBy("task_id").agg(F.min("way").alias("way"))

@@ -53,6 +53,13 @@ def outline_rows(tree: ast.Module) -> Iterator[tuple]:
         yield name, KINDS[type(node)], signature(node), [ast.unparse(b) for b in getattr(node, "bases", [])], node.lineno, node.end_lineno
 
 
+def structure_rows(tree: ast.Module) -> Iterator[tuple]:
+    """How many classes and functions a module has, as outline_rows() finds them; nothing is written out, which takes longest."""
+    classes = [isinstance(node, ast.ClassDef) for node, _, _ in definitions(tree, into=(ast.ClassDef,))]
+    if classes:
+        yield sum(classes), len(classes) - sum(classes)
+
+
 def import_rows(tree: ast.Module, most: int = 8) -> list[tuple]:
     """The imports at the top level: (module, names, kind), `most` at most, as a summary shows them."""
     found = []
@@ -111,6 +118,11 @@ def module_summaries(found: DataFrame) -> DataFrame:
     return found.groupBy("path").agg(F.count_if(F.col("kind") == "class").alias("classes"), F.count_if(F.col("kind") != "class").alias("functions"))
 
 
+def module_structures(files: DataFrame) -> DataFrame:
+    """What module_summaries() says of outlines(), counted in each file without its signatures."""
+    return per_file(files, structure_rows, "classes long; functions long").groupBy("path").agg(F.sum("classes").alias("classes"), F.sum("functions").alias("functions"))
+
+
 def symbol_texts(files: DataFrame, found: DataFrame) -> DataFrame:
     """(path, qualified_name, line_start, start_char, end_char, text): each symbol's lines and where they lie in the source."""
     s = found.join(files.select("path", F.split("source", "\n").alias("_l")), "path")
@@ -141,16 +153,20 @@ def mentioned_paths(text: Column) -> Column:
 def linked_tests(modules: DataFrame, tests: DataFrame, most: int = 8) -> DataFrame:
     """(path, test, rank): the first `most` tests, by path, whose path holds the module's stem.
 
-    A stem is looked up by its rarest run of three characters among the tests' paths (stems shorter than that by themselves), so no pair is tried
-    that shares nothing rare; a stem of which some run occurs nowhere is linked to nothing.
+    A test's path is cut into runs of signs only where the first three signs of some stem stand, and only to lengths of stems that begin so; what it holds
+    then is found by equality. Work grows with tests times the lengths of stems, not with pairs. Each stem's first tests are chosen before modules meet them.
     """
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?<=.)\.[^.]*$", "")
-    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
-    t = tests.select(F.col("path").alias("test")).distinct()
-    t = t.select("test", F.explode(F.array_distinct(F.concat(grams(F.col("test"), 1), grams(F.col("test"), 2), grams(F.col("test"), 3)))).alias("gram"))
-    n = t.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     m = modules.select("path").distinct().withColumn("stem", stem).where("stem <> ''")
-    m = m.withColumn("_g", F.when(F.length("stem") >= 3, grams(F.col("stem"), 3)).otherwise(F.array("stem")))
-    rare = m.select("path", "stem", F.explode("_g").alias("gram")).join(n, "gram", "left").groupBy("path", "stem").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    pairs = rare.join(t, "gram").where(F.contains("test", F.col("stem")))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy("test")).cast("long")).where(F.col("rank") <= most).select("path", "test", "rank")
+    stems = m.select("stem").distinct()
+    ways = stems.select(F.left("stem", F.lit(3)).alias("begin"), F.length("stem").alias("n")).distinct()
+    # A row per beginning of three signs: few, however many stems begin so.
+    ways = ways.groupBy("begin").agg(F.collect_list("n").alias("lengths"))
+    t = tests.select(F.col("path").alias("test")).distinct().where("test <> ''")
+    begins = F.flatten(F.transform(F.sequence(F.lit(1), F.length("test")), lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.struct(i.alias("i"), F.substring("test", i, n).alias("begin")))))
+    runs = t.select("test", F.inline(begins)).join(F.broadcast(ways), "begin").select("test", "i", "begin", F.explode("lengths").alias("n"))
+    # Stems shorter than three signs are their own beginnings; at the end of a path a shorter run than asked for is left out.
+    runs = runs.where((F.col("i") + F.col("n") - 1 <= F.length("test")) & (F.length("begin") == F.least("n", F.lit(3))))
+    held = runs.select("test", F.substring("test", F.col("i"), F.col("n")).alias("stem")).distinct().join(stems, "stem", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("stem").orderBy("test")).cast("long")
+    return m.join(held.withColumn("rank", rank).where(F.col("rank") <= most), "stem").select("path", "test", "rank")

@@ -60,11 +60,16 @@ def is_test_path(path: Column) -> Column:
     return F.coalesce(F.rlike(path, F.lit(TEST_PATH)), F.lit(False))
 
 
+def base64_text(data: Column) -> Column:
+    """Base64 in one line; Spark's own has a line break after every 76 signs."""
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
+
+
 def strict_base64(text: Column) -> Column:
     """Decoded bytes of canonical base64, null for anything else."""
     fits = F.rlike(text, F.lit("^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"))
     data = F.when(fits, F.unbase64(text))
-    return F.when(F.base64(data) == text, data)
+    return F.when(base64_text(data) == text, data)
 
 
 def symbol_mentions(text: Column) -> Column:

@@ -108,12 +108,14 @@ def semantic_eligible_topk(spark, sf_dir):
 _PER = "SELECT source, count(*) AS n, count(vec_id) AS covered FROM documents LEFT JOIN embeddings ON doc_id = vec_id GROUP BY source"
 
 
-@query(f"""SELECT source, n, covered, CASE WHEN source = 'src1' THEN 'LEXICAL_FALLBACK_PROVIDER_ERROR' WHEN source = 'src2' THEN 'LEXICAL_FALLBACK_SEMANTIC_STALE' WHEN covered < n THEN 'LEXICAL_FALLBACK_SEMANTIC_UNAVAILABLE' ELSE 'HYBRID' END AS hybrid FROM ({_PER})""")
+@query(f"""SELECT source, n, covered, CASE WHEN source = 'src1' THEN 'LEXICAL_FALLBACK_PROVIDER_ERROR' WHEN source = 'src2' THEN 'LEXICAL_FALLBACK_SEMANTIC_STALE' WHEN covered < n THEN 'LEXICAL_FALLBACK_SEMANTIC_UNAVAILABLE' ELSE 'HYBRID' END AS hybrid,
+    CASE WHEN source = 'src4' THEN 'INDEXING' WHEN source = 'src2' THEN 'STALE' WHEN covered < n THEN 'PARTIAL' ELSE 'READY' END AS corpus FROM ({_PER})""")
 def hybrid_fallback(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     v = table(spark, sf_dir, "embeddings").select("vec_id")
     n = d.join(v, F.col("doc_id") == F.col("vec_id"), "left").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("vec_id").alias("covered"))
-    return n.select("source", "n", "covered", R.hybrid_state(F.col("covered"), F.col("n"), F.col("source") == "src2", F.col("source") == "src1").alias("hybrid"))
+    stale = F.col("source") == "src2"
+    return n.select("source", "n", "covered", R.hybrid_state(F.col("covered"), F.col("n"), stale, F.col("source") == "src1").alias("hybrid"), R.corpus_status(F.col("n"), F.col("covered"), stale, F.col("source") == "src4").alias("corpus"))
 
 
 @query("""WITH r AS (SELECT user_id AS project_id, event_id AS run_id, CASE event_type WHEN 'view' THEN 'RUNNING' WHEN 'click' THEN 'FAILED' ELSE 'COMPLETED' END AS status, ts FROM events WHERE user_id % 3 > 0)
@@ -198,7 +200,8 @@ def profile_upsert(spark, sf_dir):
     max(l_shipdate) FILTER (WHERE l_linenumber > 1) AS finished_at, count(*) AS n_entries FROM lineitem GROUP BY 1""")
 def run_ledger(spark, sf_dir):
     status = F.when(F.col("l_linenumber") == 1, "RUNNING").when(F.col("l_returnflag") == "R", "FAILED").otherwise("COMPLETED")
-    return R.ledger(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), status.alias("status"), F.col("l_shipdate").alias("at"), F.col("l_linenumber").alias("seq")))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), status.alias("status"), F.col("l_shipdate").alias("at"), F.col("l_linenumber").alias("seq"), F.col("_metadata.row_index").alias("place"))
+    return R.ledger(rows, place="place")
 
 
 _LEN = lambda c: f"unhex(lpad(to_hex(strlen({c})), 16, '0')) || encode({c})"

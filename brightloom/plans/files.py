@@ -64,11 +64,12 @@ def content_store(spark, sf_dir):
 
 
 def versions(spark, sf_dir) -> DataFrame:
-    """Two versions of an object per event: a nested value changes, a key goes, a key comes, a list stays."""
+    """Two versions of an object per event: a nested value changes, a key goes, a key comes, a list stays. Events are dealt anew first: a file of many small rows is few tasks."""
+    e = table(spark, sf_dir, "events").select("event_id", "props").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
     k, i = F.get_json_object("props", "$.k").cast("long"), F.col("event_id")
     old = F.to_json(F.struct(F.struct(k.alias("x/y"), F.lit(1).alias("same")).alias("deep"), F.array(F.lit(1), F.lit(2)).alias("list"), F.when(i % 3 == 0, "gone").alias("old")))
     new = F.to_json(F.struct(F.struct(F.when(i % 2 == 0, k + 1).otherwise(k).alias("x/y"), F.lit(1).alias("same")).alias("deep"), F.array(F.lit(1), F.lit(2)).alias("list"), F.when(i % 5 == 0, "come").alias("new~")))
-    return table(spark, sf_dir, "events").select("event_id", old.alias("old"), new.alias("new"), k.alias("k"))
+    return e.select("event_id", old.alias("old"), new.alias("new"), k.alias("k"))
 
 
 _OPS = """[x FOR x IN [CASE WHEN event_id % 3 = 0 THEN '{"op":"remove","path":"/old"}' END, CASE WHEN event_id % 5 = 0 THEN '{"op":"add","path":"/new~0","value":"come"}' END,

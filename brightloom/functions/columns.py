@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "jav
 SECRET = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\s*[:=]|akia[0-9a-z]{12,}"
 
 
+def once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is costly and used more than once, also in other lambdas: it is computed once a row."""
+    return F.transform(F.array(value), made)[0]
+
+
 def sha256_text(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
@@ -51,7 +57,8 @@ def identifier_tokens(text: Column) -> Column:
     """Lower-case pieces of identifiers: runs of letters and digits, cut at humps, acronyms and digits; a run without an ASCII piece stays whole."""
     runs = F.regexp_extract_all(text, F.lit(r"(?U)[^\W_]+"), F.lit(0))
     pieces = lambda w: F.regexp_extract_all(w, F.lit(PIECES), F.lit(0))
-    found = F.flatten(F.transform(runs, lambda w: F.when(F.size(pieces(w)) > 0, pieces(w)).otherwise(F.array(w))))
+    cut = F.transform(runs, lambda w: F.struct(w.alias("w"), pieces(w).alias("p")))
+    found = F.flatten(F.transform(cut, lambda x: F.when(F.size(x["p"]) > 0, x["p"]).otherwise(F.array(x["w"]))))
     return F.transform(found, lambda w: F.replace(F.lower(w), F.lit("ß"), F.lit("ss")))
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import PIECES, cosine_distance, search_text, token_estimate, words
+from ..functions.columns import PIECES, cosine_distance, once, search_text, token_estimate, words
 from ..session import ship
 
 
@@ -45,13 +45,13 @@ def lexical(docs: DataFrame, query: str, top_k: int | None = 20) -> DataFrame:
     documents that hold all words. The order is score, lang, id; top_k None returns every match.
     """
     tokens = query_tokens(query)
-    held = docs.select("doc_id", "lang", "source", words(search_text(F.coalesce("text", F.lit("")))).alias("w")).where(F.forall(F.array(*map(F.lit, tokens)), lambda t: F.array_contains("w", t)))
-
-    def places_of(token: str) -> Column:
-        return F.filter(F.transform("w", lambda x, i: F.when(x == token, i)), lambda p: p.isNotNull())
-
+    places_of = lambda w, token: F.filter(F.transform(w, lambda x, i: F.when(x == token, i)), lambda p: p.isNotNull())
+    places = once(words(search_text(F.coalesce("text", F.lit("")))), lambda w: F.array(*[places_of(w, t) for t in tokens]))
+    # Exploding leaves out what lacks a word; a filter would be moved below, and every text cut into words once more for each word asked for.
+    full = F.filter(F.array(places), lambda p: F.forall(p, lambda x: F.size(x) > 0))
+    held = docs.select("doc_id", "lang", "source", F.explode(full).alias("p"))
     if len(tokens) == 1:
-        rank = 0.1 * F.size(places_of(tokens[0]))
+        rank = 0.1 * F.size(F.col("p")[0])
     else:
         ship(docs.sparkSession)
 
@@ -59,7 +59,7 @@ def lexical(docs: DataFrame, query: str, top_k: int | None = 20) -> DataFrame:
         def rank_of(p: pd.Series) -> pd.Series:
             return p.map(cover_density)
 
-        rank = rank_of(F.array(*map(places_of, tokens)))
+        rank = rank_of("p")
     boost = F.when(F.lower("source") == query.strip().lower(), 4.0).otherwise(0.0) + F.when(F.lower("lang") == query.strip().lower(), 1.5).otherwise(0.0)
     scored = held.select("doc_id", "lang", F.round(rank + boost, 6).alias("score"))
     order = [F.desc("score"), F.asc_nulls_last("lang"), F.asc("doc_id")]
@@ -189,10 +189,10 @@ def rerank_document(kind: Column, path: Column, title: Column, symbol: Column, s
 
 def concept_vector(text: Column, concepts: Sequence[Sequence[str]]) -> Column:
     """An offline embedding: how many words of each concept a text has, scaled to length 1; all zero without any."""
-    w = F.array_distinct(words(text))
-    n = F.array(*[F.size(F.array_intersect(w, F.array(*map(F.lit, c)))).cast("double") for c in concepts])
-    norm = F.sqrt(F.aggregate(n, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(n, lambda x: F.when(norm > 0, F.round(x / F.nullif(norm, F.lit(0.0)), 8)).otherwise(0.0))
+    counts = lambda w: F.array(*[F.size(F.array_intersect(w, F.array(*map(F.lit, c)))).cast("double") for c in concepts])
+    norm_of = lambda n: F.sqrt(F.aggregate(n, F.lit(0.0), lambda a, x: a + x * x))
+    scaled = lambda n, norm: F.transform(n, lambda x: F.when(norm > 0, F.round(x / F.nullif(norm, F.lit(0.0)), 8)).otherwise(0.0))
+    return once(once(F.array_distinct(words(text)), counts), lambda n: once(norm_of(n), lambda norm: scaled(n, norm)))
 
 
 def overlap_score(query: Column, document: Column) -> Column:

@@ -52,3 +52,25 @@ def test_sources_are_dealt_over_tasks_and_structure_is_counted(spark):
     want = sorted(tuple(r) for r in code.module_summaries(code.outlines(files)).collect())
     assert sorted(tuple(r) for r in code.module_structures(files).collect()) == want
     assert list(code.structure_rows(ast.parse(text))) == [tuple(want[0][1:])]
+
+
+def test_texts_are_cut_into_words_once(spark):
+    """What a filter or a lambda repeats is cut again: the plan names the cutting once."""
+    from brightloom.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "The cat and the dog of Rome", "en", "s"), (2, "the and", "en", "s"), (3, None, None, None)], "doc_id long, text string, lang string, source string")
+    times = lambda df, cut: df._jdf.queryExecution().optimizedPlan().toString().count(cut)
+    several = retrieval.lexical(docs, "the and of", top_k=None)
+    assert times(several, "[\\p{L}\\p{N}]+") == 1 and [r.doc_id for r in several.collect()] == [1]
+    vectors = docs.select(retrieval.concept_vector(F.col("text"), [["the", "of"], ["cat"]]).alias("v")).selectExpr("v[0]", "v[1]")
+    assert times(vectors, "[\\p{L}\\p{N}]+") == 1
+    assert [tuple(r) for r in vectors.collect()] == [(0.89442719, 0.4472136), (1.0, 0.0), (0.0, 0.0)]
+
+
+def test_patches_of_many_small_rows_are_made_by_all_tasks(spark):
+    from brightloom.operators import patches
+    from brightloom.plans import files as file_queries
+
+    assert file_queries.versions(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+    odd = [0, False, 1, True, 1.0, -0.0, 0.0, None, "", "1", [], [1], {}, float("nan")]
+    assert all(patches.same(a, b) == (patches.canonical(a) == patches.canonical(b)) for a in odd for b in odd)

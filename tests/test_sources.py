@@ -91,3 +91,13 @@ def test_replay_goes_on_where_it_stopped(spark, tmp_path):
 def test_cursors(spark):
     df = spark.createDataFrame([("12",), ("0",), ("01",), ("-1",), ("1a",), ("",), (None,), ("9" * 19,)], "c string")
     assert [r[0] for r in df.select(stream.valid_cursor(F.col("c"))).collect()] == [12] + [None] * 7
+
+
+def test_contents_go_through_python_few_at_a_time(spark):
+    from brightloom import plans
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = plans.QUERIES["content_store"](spark, "/root/testdata/sf0.001")
+    assert int(got.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("pack(") <= 1  # each tier is written, not made again by every reader
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before and got.count() > 0

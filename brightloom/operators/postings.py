@@ -6,6 +6,7 @@ better may be left; postings of common lexemes stay unread as far as the results
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -39,15 +40,17 @@ def normalised_queries(queries: DataFrame) -> DataFrame:
 
 
 class Index(NamedTuple):
-    """Where an index lies, in how many parts its postings are, and the columns of its two tables."""
+    """Where an index lies, the name of its documents as a table bucketed by id, in how many parts its postings are, and the columns of its two tables."""
 
     path: str
+    table: str
     parts: int
     document: StructType
     posting: StructType
 
     def documents(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(self.document).parquet(f"{self.path}/documents")
+        """The documents; an application other than the one that built the index has no buckets and reads the files."""
+        return spark.table(self.table) if spark.catalog.tableExists(self.table) else spark.read.schema(self.document).parquet(f"{self.path}/documents")
 
 
 class Unindexed(NamedTuple):
@@ -65,23 +68,32 @@ def build(docs: DataFrame, path: str, content: Column, names: Column | None = No
     `content` and `names` are arrays of lexemes; `payload` are columns to return; of rows with one `group` a search keeps the best; `keys` are names by
     which a row is found whole. Ids do not repeat and are not null. Postings of a lexeme are cut into blocks of about `block` documents by a hash of the
     id, so the commonest lexeme is many rows, and no task gathers more than a block of it.
+
+    Documents are dealt by id once, before they are cut into lexemes, and kept in buckets of whole blocks: a lexeme is counted and its ids are gathered
+    where its documents lie, so lists of ids are shuffled and never single lexemes, and searches join the documents without moving them.
     """
+    spark = docs.sparkSession
+    blocks = max(1, -(-docs.select("id").count() // block))
+    parts, buckets = min(PARTS, blocks), min(PARTS, max(blocks, spark.sparkContext.defaultParallelism))
     none = F.array().cast("array<string>")
-    whole = docs.select(
+    whole = docs.repartition(buckets, "id").select(
         "id", content.alias("c"), (none if names is None else names).alias("m"), F.struct(*payload).alias("row") if payload else F.lit(None).cast("string").alias("row"),
         (F.col("id").cast("string") if group is None else group).alias("group"), (none if keys is None else F.array_distinct(keys)).alias("keys"),
     )
-    whole.write.parquet(f"{path}/documents")
-    forward = docs.sparkSession.read.schema(whole.schema).parquet(f"{path}/documents")
-    blocks = max(1, -(-forward.count() // block))
-    parts = min(PARTS, blocks)
-    part = lambda side, n: forward.select("id", "group", F.explode(side).alias("term"), F.lit(n).alias("n"))
-    each = part("c", COVER).unionByName(part("m", COVER * METADATA_WEIGHT)).groupBy("term", "id").agg(F.any_value("group").alias("group"), F.sum("n").alias("most"))
-    rows = each.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("term", "block")
-    rows = rows.agg(F.count(F.lit(1)).alias("n"), F.max("most").alias("most"), F.max_by("group", F.struct("most", "group")).alias("best"), F.collect_list("id").alias("ids"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+    table = f"documents_{uuid.uuid4().hex}"
+    whole.write.bucketBy(buckets, "id").option("path", f"{path}/documents").saveAsTable(table)
+    rows = inverted(spark.table(table), buckets, -(-blocks // buckets)).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
     rows.repartition("part", "block").sortWithinPartitions("part", "term", "block").write.partitionBy("part").parquet(f"{path}/postings")
-    return Index(path, parts, whole.schema, rows.schema)
+    return Index(path, table, parts, whole.schema, rows.schema)
+
+
+def inverted(forward: DataFrame, buckets: int, within: int) -> DataFrame:
+    """(term, block, n, most, ids) of documents (id, c, m) in buckets by id: blocks divide the buckets by the same hash, `within` to each."""
+    each = forward.select("id", F.size("c").alias("inside"), F.posexplode(F.concat("c", "m")).alias("at", "term"))
+    each = each.groupBy("id", "term").agg(F.sum(F.when(F.col("at") < F.col("inside"), COVER).otherwise(COVER * METADATA_WEIGHT)).alias("most"))
+    block = F.pmod(F.hash("id"), F.lit(buckets)).cast("long") * within + F.pmod(F.xxhash64("id"), F.lit(within))
+    rows = each.withColumn("block", block).groupBy("term", "block")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.max("most").alias("most"), F.collect_list("id").alias("ids"))
 
 
 def unindexed(docs: DataFrame, content: Column) -> Unindexed:
@@ -119,7 +131,7 @@ def scored(spark: SparkSession, index: Index, candidates: DataFrame, queries: Da
     ship(spark)
     forward = index.documents(spark).drop("keys")
     q = queries.select("query_id", "raw", "basename", "tokens")
-    both = forward.join(candidates, "id").join(q, "query_id")
+    both = forward.join(candidates.hint("shuffle_hash"), "id").join(q, "query_id")
     # A place and the number of the token there, from 1; a query has fewer than 1024 tokens.
     places = lambda where: F.filter(F.transform(where, lambda x, i: i.cast("long") * 1024 + F.array_position("tokens", x)), lambda v: v % 1024 > 0)
     all_of = lambda where: F.forall("tokens", lambda t: F.array_contains(where, t))
@@ -152,7 +164,7 @@ def search_references(spark: SparkSession, index: Index, queries: DataFrame, top
     """
     asked = kept(normalised_queries(queries).where("fault IS NULL"), "queries")
     terms = asked.select("query_id", F.size("tokens").alias("t"), F.explode("tokens").alias("term"))
-    metadata = postings_of(spark, index, kept(terms.select("term").distinct(), "vocabulary")).select("term", "block", "n", "most", "best")
+    metadata = postings_of(spark, index, kept(terms.select("term").distinct(), "vocabulary")).select("term", "block", "n", "most")
     df = kept(metadata.groupBy("term").agg(F.sum("n").alias("df")), "df")
     known = terms.join(df, "term").groupBy("query_id", "t").agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count(F.lit(1)).alias("known"))
     rarest = kept(known.where("known = t").select("query_id", "t", "term"), "rarest")

@@ -1,10 +1,12 @@
 """Work grows with the rows and not with their pairs: rows shuffled are counted."""
 
 import ast
+import re
 
 from pyspark.sql import functions as F
 
-from brightloom.operators import code, evidence
+from brightloom.operators import code, evidence, postings
+from brightloom.operators import references as R
 from brightloom.plans import code as code_queries
 
 
@@ -74,3 +76,25 @@ def test_patches_of_many_small_rows_are_made_by_all_tasks(spark):
     assert file_queries.versions(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
     odd = [0, False, 1, True, 1.0, -0.0, 0.0, None, "", "1", [], [1], {}, float("nan")]
     assert all(patches.same(a, b) == (patches.canonical(a) == patches.canonical(b)) for a in odd for b in odd)
+
+
+def test_an_index_moves_no_lexemes_and_no_documents(spark, monkeypatch):
+    monkeypatch.setattr(postings, "PARTS", 2)  # buckets of several blocks
+    schema = "reference_id long, chunk_id string, source_kind string, task_id long, path string, title string, symbol string, start_line long, content string"
+    refs = spark.createDataFrame([(i, f"c{i}", "CODE", None, f"src/a{i % 5}.py", "title", "x.read", 1, f"the w{i % 3} the and w{i % 7}") for i in range(200)], schema)
+    index = postings.build_references(refs, block=20)
+    forward = index.documents(spark)
+    moved = lambda df: re.findall("Exchange (?:hash|range|Round).*", df._jdf.queryExecution().executedPlan().toString())
+    made = postings.inverted(forward, 2, 5)
+    assert [m.partition("(")[2].partition("#")[0] for m in moved(made)] == ["term"]
+    rows = made.collect()
+    assert len({r.block for r in rows}) == 10 and sorted(i for r in rows if r.term == "the" for i in r.ids) == list(range(200))
+    asked = postings.normalised_queries(spark.createDataFrame([(1, "the and"), (2, "w1")], "query_id int, query string"))
+    few = spark.createDataFrame([(1, 3), (2, 4)], "query_id int, id long").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert len([m for m in moved(postings.scored(spark, index, few, asked)) if "hashpartitioning(id" in m]) == 1  # candidates come to the documents
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = {(r.query_id, r.reference_id, r.score) for r in postings.search_references(spark, index, spark.createDataFrame([(1, "w1 and")], "query_id int, query string"), top_k=500).collect()}
+    assert got == {(1, r.reference_id, r.score) for r in R.search(refs, "w1 and", top_k=None).collect()}

@@ -200,8 +200,8 @@ def profile_upsert(spark, sf_dir):
     max(l_shipdate) FILTER (WHERE l_linenumber > 1) AS finished_at, count(*) AS n_entries FROM lineitem GROUP BY 1""")
 def run_ledger(spark, sf_dir):
     status = F.when(F.col("l_linenumber") == 1, "RUNNING").when(F.col("l_returnflag") == "R", "FAILED").otherwise("COMPLETED")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), status.alias("status"), F.col("l_shipdate").alias("at"), F.col("l_linenumber").alias("seq"), F.col("_metadata.row_index").alias("place"))
-    return R.ledger(rows, place="place")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), status.alias("status"), F.col("l_shipdate").alias("at"), F.col("l_linenumber").alias("seq"), F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
+    return R.ledger(rows, place="place", ends="seq > 1")
 
 
 _LEN = lambda c: f"unhex(lpad(to_hex(strlen({c})), 16, '0')) || encode({c})"

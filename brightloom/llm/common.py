@@ -67,10 +67,13 @@ def few_at_once(spark: SparkSession, rows: int) -> SparkSession:
     return beside
 
 
-def stored(df: DataFrame, what: str) -> str:
-    """Write the rows to the shared folder; the path, from which any session can read them."""
+def stored(df: DataFrame, what: str, group_rows: int | None = None) -> str:
+    """Write the rows to the shared folder; the path, from which any session can read them.
+
+    group_rows: how many rows are held at once when they are written and read, for large rows; by itself Parquet looks at its memory after a hundred.
+    """
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.row.count.limit", group_rows) if group_rows else df.write).parquet(path)
     return path
 
 

@@ -115,7 +115,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A shard is a run of documents of one input partition with about `shard_postings` postings; it has its documents' ids and numbers of terms, and by
     term the documents (ascending), occurrences, the largest number of occurrences and the least length, which bound a term's part of any score,
     whatever the corpus' statistics. Every term of every whole text is indexed. Null and empty texts, and texts without a term, are in no shard. Ids
-    are longs; null and repeated ids are documents of their own. A very long text is counted some terms at a time. Other columns are ignored.
+    are longs; null and repeated ids are documents of their own. A very long text is counted some terms at a time. Other columns are ignored. Rows are
+    large, so each is a row group: writers, readers and the workers that search hold one at a time, however many a task has.
     """
     ship(docs.sparkSession)
 
@@ -132,7 +133,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if last := shard.row():
             yield last
 
-    return stored(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, INDEX), "index")
+    return stored(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, INDEX), "index", group_rows=1)
 
 
 def terms_of(text: Column) -> Column:
@@ -213,7 +214,7 @@ def search(spark: SparkSession, path: str, items: DataFrame, k: int = 20, item_c
     asked = written(asked.join(df, "term").select("_q", "term", (F.col("times") * weight).alias("w")).where("w > 0"), "asked")
     blocks = max(1, -(-asked.count() // block_terms))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("_q"), F.lit(blocks)))
-    shards = few_at_once(spark, 8).read.schema(INDEX).parquet(path)
+    shards = few_at_once(spark, 1).read.schema(INDEX).parquet(path)
     found = all_of([spark.read.schema(FOUND).parquet(stored(_searched(shards, asked.where(F.col("block") == b), n, total, k), "found")) for b in range(blocks)])
     best = top_per(found, "_q", [F.desc("score"), F.asc_nulls_last("doc_id")], k)
     return best.join(rows.select("_q", "_item"), "_q").select(F.col("_item").alias(item_col), F.col("rank").cast("int").alias("rank"), "doc_id", "score")

@@ -1,9 +1,11 @@
+import glob
 import hashlib
 import math
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,6 +67,14 @@ def test_maxscore_is_brute_force(spark, k, postings, block):
     assert rows(got, "item_id", "rank", "doc_id", "score") == ranked(docs, items, k)
 
 
+def test_maxscore_holds_one_shard_at_a_time(spark):
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c") for i in range(12)], "doc_id long, text string").coalesce(1)
+    path = maxscore.build_index(docs, shard_postings=6).removeprefix("file:")
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path}/*.parquet")]
+    assert sum(m.num_rows for m in files) == 6  # what is written and read together is a row group, of which each is one shard
+    assert all(m.row_group(i).num_rows == 1 for m in files for i in range(m.num_row_groups))
+
+
 def test_maxscore_of_nothing(spark):
     docs, items = spark.createDataFrame([(1, "a b", "", 1, 1, 1)], DOCS), spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert maxscore.ranked_documents(docs.limit(0), items).count() == 0

@@ -57,15 +57,15 @@ def decoded_files(spark, sf_dir):
 
 @query("SELECT sha256(coalesce(text, '')) AS sha256, max(CAST(strlen(coalesce(text, '')) AS BIGINT)) AS logical_size, true AS smaller, left(sha256(coalesce(text, '')), 2) || '/' || substring(sha256(coalesce(text, '')), 3, 2) || '/' || sha256(coalesce(text, '')) AS path FROM documents GROUP BY 1, 4")
 def content_store(spark, sf_dir):
-    """All texts put, moved to the middle tier and read back; an overhead of 32 bytes is allowed for short texts.
+    """All texts put, moved to the middle tier and read back; hashes and sizes are those of what was read. An overhead of 32 bytes is allowed for short texts.
 
     Each step has a Python worker of its own in every task, so few texts at a time go through them, and each tier is written before the next step.
     """
     few = few_at_once(spark, 128)
     hot = kept(files.put(table(few, sf_dir, "documents"), "HOT", "text"), "hot")
     moved = kept(files.transition(hot, "WARM"), "warm")
-    sizes = moved.select("sha256", "logical_size", "physical_size")
-    back = files.read_verified(moved).select("sha256").join(sizes, "sha256")
+    back = files.read_verified(moved).select(F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("logical_size"))
+    back = back.join(moved.select("sha256", "physical_size"), "sha256")
     return back.select("sha256", "logical_size", (F.col("physical_size") <= F.col("logical_size") + 32).alias("smaller"), files.fan_out_path(F.col("sha256")).alias("path"))
 
 

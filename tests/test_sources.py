@@ -35,6 +35,25 @@ def test_store_refuses_changed_contents(spark):
         files.read_verified(moved.withColumn("blob", F.lit(b"no zstd"))).collect()
 
 
+def test_contents_are_verified_whatever_is_asked_of_them(spark, monkeypatch):
+    from brightloom import plans
+
+    store = files.put(spark.createDataFrame([("a" * 1000,), ("b",)], "content string"))
+    bad = files.read_verified(store.withColumn("blob", F.lit(b"no zstd")))
+    for df in (bad.select("sha256"), bad.groupBy().count()):
+        with pytest.raises(Exception, match="does not match"):
+            df.collect()
+    assert sorted(r.sha256 for r in files.read_verified(store).select("sha256").collect()) == sorted(r.sha256 for r in store.collect())
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(files.read_verified(store)).count("unpack(") == plan(bad.select("sha256")).count("unpack(") == 1  # and unpacked once
+    query = plans.QUERIES["content_store"]
+    assert "unpack(" in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    real = files.transition
+    monkeypatch.setattr(files, "transition", lambda *a: real(*a).withColumn("blob", F.lit(b"no zstd")))
+    with pytest.raises(Exception, match="does not match"):
+        query(spark, "/root/testdata/sf0.001").collect()
+
+
 def test_files_read_from_disk(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.md").write_bytes(b"\xef\xbb\xbf# x\r\ny\r")

@@ -30,8 +30,8 @@ def expiring_values(spark, sf_dir):
 
 
 def baselines(spark, sf_dir) -> tuple[str, DataFrame]:
-    """An order is a task's context, cached and pointed to at its time; some pointers are corrupt, foreign, or their context is gone. Line items ask for them."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 5).alias("p"), F.col("o_custkey").alias("t"))
+    """Each order is a task's context, cached and pointed to at its time; some pointers are corrupt, foreign, or their context is gone. Each is asked for once."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey IS NOT NULL").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 5).alias("p"), F.col("o_custkey").alias("t"))
     at = F.timestamp_seconds(86400 + F.col("k") % 1000 * 10)
     fp = lambda kind: F.sha2(F.concat(F.lit(kind), F.col("k").cast("string")), 256)
     said = state.pointer(F.when(F.col("k") % 5 == 1, F.col("p") + 1).otherwise(F.col("p")), F.col("t"), fp("in"), fp("out"), F.sha1(F.col("k").cast("string")))
@@ -45,7 +45,7 @@ def baselines(spark, sf_dir) -> tuple[str, DataFrame]:
     return path, asked
 
 
-@query("""WITH o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 = 0), f AS (SELECT k, k % 7 * 100 < 300 AND k % 5 NOT IN (1, 2) AS pointed FROM o)
+@query("""WITH o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey IS NOT NULL), f AS (SELECT k, k % 7 * 100 < 300 AND k % 5 NOT IN (1, 2) AS pointed FROM o)
     SELECT k AS request_id, CASE WHEN pointed THEN sha256('in' || k) END AS input_fingerprint, CASE WHEN pointed AND k % 5 <> 3 THEN k::VARCHAR END AS capsule, CASE WHEN NOT pointed THEN 'NO_POINTER' WHEN k % 5 = 3 THEN 'NO_CONTEXT' ELSE 'RESOLVED' END AS state FROM f""")
 def delta_baselines(spark, sf_dir):
     return state.resolved_baselines(spark, *baselines(spark, sf_dir), late="1 day")

@@ -102,3 +102,11 @@ def test_a_value_that_comes_in_a_later_batch_but_was_put_earlier_is_not_the_newe
     state.expiring(spark, f"{ops}/*", into)
     added(spark, [(2, "put", "a", "old", at(50)), (3, "get", "a", None, at(60)), (4, "get", "a", None, at(101)), (5, "get", "a", None, at(-500))], state.OPS, ops, 1)
     assert {r.request_id: r.value for r in state.expiring(spark, f"{ops}/*", into).collect()} == {3: "old", 4: "new"}
+
+
+def test_a_baseline_is_asked_for_by_each_order(spark):
+    from brightloom import plans
+
+    got = plans.QUERIES["delta_baselines"](spark, "/root/testdata/sf0.001")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    assert sorted(r.request_id for r in got.collect()) == sorted(r.o_orderkey for r in orders.collect())
